@@ -1,0 +1,54 @@
+"""Helpers shared by the operators: reading tables and cutting lineage with written tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Only a session that runs in one JVM may fall back to a temporary folder of this machine.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="sourcegauge-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+class Scratch:
+    """Written tables of one query. Each is a cut in the lineage that survives lost executors.
+
+    ``keep`` writes a frame as Parquet and reads it back; ``drop`` removes a table that no
+    later frame reads any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept._scratch_path = path
+        return kept
+
+    def drop(self, *frames: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for frame in frames:
+            path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
+            path.getFileSystem(conf).delete(path, True)
