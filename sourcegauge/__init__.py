@@ -1,0 +1 @@
+"""Source-code analytics on Spark."""
