@@ -1,0 +1,290 @@
+"""MinHash near-duplicate detection with sequential Bayesian verification.
+
+1. One pass makes each document's set of word shingles, its 128 minima, and two sums that name the
+   set. Documents with equal sets form a class, known by its smallest doc_id.
+2. The minima of each class are cut into 32 bands of 4. Classes that agree on a band share a
+   bucket; at a similarity of 0.8 a pair shares no bucket once in 20 million.
+3. Links are only needed until all that are linked hang together. So each bucket compares its
+   members with a few pivots (its smallest and largest class, in later rounds others), not
+   with each other: the pairs grow with the members. Pairs whose ends hang together already are
+   dropped; what is left apart in a bucket goes to the next round with other pivots, and when
+   the pairs still untested are few, all of these are tested. Each round tests a member of every
+   bucket that is left against the whole bucket, so the rounds end, and no pair that shares a
+   bucket and isn't joined by other links stays untested.
+4. A pair is verified in batches of 32 minima. After each batch the posterior of the similarity,
+   with a flat prior, is Beta(1 + agreeing, 1 + differing); a pair is dropped once the
+   probability of reaching the threshold falls below ``MISS``. Survivors are checked on the
+   full shingle sets.
+5. Components come from rounds of smallest-neighbour labels over the links, in DataFrames.
+
+Equal classes, hot buckets and hot pivots are met by aggregation before the shuffle and by joins
+that adaptive execution can split. Only numbers of rows reach the driver.
+
+Defined cases: a null or wordless text has an empty set, links with nothing and is kept; rows that
+repeat a doc_id are documents of their own, and are all kept or not by that doc_id; a null
+doc_id takes the component of its exact copies, if any, is never near-linked and never kept; an
+empty table gives an empty table; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sourcegauge.llm.common import Scratch
+
+HASHES, BANDS = 128, 32
+ROWS = HASHES // BANDS
+BATCH, MISS = 32, 1e-6
+#: Pairs of classes left apart that are all tested at once, for each member of a bucket; more take another round of pivots.
+FEW = 4
+#: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 250_000
+
+SKETCH = "doc_id bigint, n bigint, d1 bigint, d2 bigint, minima array<int>"
+SETS = "doc_id bigint, d1 bigint, d2 bigint, shingles array<bigint>"
+
+U = np.uint64
+_rng = np.random.RandomState(20240607)
+BYTE_CODES = _rng.randint(1, 2**63, 256, dtype=np.int64).astype(U)
+BASE = U(6364136223846793005)
+INVERSE = U(pow(6364136223846793005, -1, 2**64))
+PLACE = (_rng.randint(1, 2**62, 64, dtype=np.int64).astype(U) << U(1)) | U(1)
+FACTORS = (_rng.randint(1, 2**62, HASHES, dtype=np.int64).astype(U) << U(1)) | U(1)
+OFFSETS = _rng.randint(1, 2**63, HASHES, dtype=np.int64).astype(U)
+LOWER = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> U(33))
+    x = x * U(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> U(33))
+    x = x * U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> U(33))
+
+
+class Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far needs."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=U)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up), 1 << 14)
+            self.up = np.concatenate([[U(1)], np.full(size - 1, BASE)]).cumprod(dtype=U)
+            self.down = np.concatenate([[U(1)], np.full(size - 1, INVERSE)]).cumprod(dtype=U)
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit numbers of the shingles of ``words`` words; of fewer words, one number of them all."""
+    data = np.frombuffer((text or "").encode().translate(LOWER), dtype=np.uint8)
+    if not len(data):
+        return np.zeros(0, dtype=U)
+    inside = np.concatenate([[False], data != 32, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, dtype=U)
+    up, down = POWERS.upto(len(data) + 1)
+    total = np.concatenate([[U(0)], np.cumsum(BYTE_CODES[data] * up[:-1], dtype=U)])
+    word = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    n = len(word)
+    if n < words:
+        return mix(np.array([(word * PLACE[:n]).sum(dtype=U) + U(n)], dtype=U))
+    out = np.zeros(n - words + 1, dtype=U)
+    for i in range(words):
+        out += word[i : n - words + 1 + i] * PLACE[i]
+    return np.unique(mix(out + U(words)))
+
+
+def minima(numbers: np.ndarray) -> np.ndarray:
+    """The minima of a set, 31 bits each."""
+    best = np.full(HASHES, U(2**64 - 1))
+    for i in range(0, len(numbers), 2048):
+        best = np.minimum(best, (numbers[None, i : i + 2048] * FACTORS[:, None] + OFFSETS[:, None]).min(axis=1))
+    return (best >> U(33)).astype(np.int32)
+
+
+def names(numbers: np.ndarray) -> tuple[int, int]:
+    """Two numbers that name a set."""
+    return int(mix(numbers + U(0x9E3779B97F4A7C15)).sum(dtype=U).astype(np.int64)), int(np.bitwise_xor.reduce(mix(numbers * U(3) + U(1))).astype(np.int64)) if len(numbers) else 0
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, first, second, least = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                numbers = shingles(text, words)
+                a, b = names(numbers)
+                sizes.append(len(numbers))
+                first.append(a)
+                second.append(b)
+                least.append(minima(numbers))
+            flat = pa.array(np.concatenate(least) if least else np.zeros(0, np.int32), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * HASHES, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], ["doc_id", "n", "d1", "d2", "minima"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+
+
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+                named = [names(s) for s in sets]
+                flat = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
+                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in named], pa.int64()), pa.array([b for _, b in named], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "d1", "d2", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SETS)
+
+
+def reach_probability(agreeing: int, seen: int, threshold: float) -> float:
+    """Posterior probability that the similarity is at least the threshold."""
+    # The Beta tail as a binomial sum: P(Beta(a, b) >= t) = P(Binomial(a + b - 1, t) <= a - 1).
+    return sum(math.comb(seen + 1, k) * threshold**k * (1 - threshold) ** (seen + 1 - k) for k in range(agreeing + 1))
+
+
+@lru_cache(maxsize=8)
+def least_agreeing(threshold: float, miss: float = MISS) -> tuple[int, ...]:
+    """For each batch, the agreeing minima below which a pair is dropped."""
+    return tuple(next(m for m in range(seen + 1) if reach_probability(m, seen, threshold) >= miss) for seen in range(BATCH, HASHES + 1, BATCH))
+
+
+def prune(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs a, b with minima ma, mb, those that no batch drops."""
+    bounds = least_agreeing(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, HASHES) for i in (2, 3))
+            alive = np.arange(batch.num_rows)
+            agreeing = np.zeros(batch.num_rows, dtype=np.int64)
+            for k, bound in enumerate(bounds):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                agreeing[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
+                alive = alive[agreeing[alive] >= bound]
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], ["a", "b"])
+
+    return pairs.select("a", "b", "ma", "mb").mapInArrow(run, "a bigint, b bigint")
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, label: the smallest id reachable, of every id that is in a link a, b."""
+    both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "other"))
+    labels = scratch.keep(both.groupBy("id").agg(F.least(F.min("other"), F.min("id")).alias("label")))
+    while True:
+        near = both.join(labels.toDF("other", "near"), "other").groupBy("id").agg(F.min("near").alias("near"))
+        seen = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        jump = labels.select(F.col("id").alias("via"), F.col("label").alias("jump"))
+        new = scratch.keep(seen.join(jump, "via", "left").select("id", "old", F.least("via", F.coalesce("jump", "via")).alias("label")))
+        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
+        scratch.drop(labels)
+        labels = new.select("id", "label")
+        labels._scratch_path = new._scratch_path
+        if not changed:
+            scratch.drop(both)
+            return labels
+
+
+def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document."""
+    percent = round(threshold * 100)
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    sketch = scratch.keep(sketches(docs, words))
+    named = ["n", "d1", "d2"]
+    classes = sketch.where("n > 0").groupBy(named).agg(F.min("doc_id").alias("cls"))
+    reps = scratch.keep(
+        sketch.where("n > 0").join(classes, named).where(F.col("doc_id") == F.col("cls")).dropDuplicates(named).select("cls", *named, "minima")
+    )
+    band = lambda i: F.xxhash64(i, F.slice("minima", i * ROWS + 1, ROWS))
+    keyed = reps.select("cls", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high")
+    buckets = scratch.keep(keyed.join(shared, "key"))
+
+    ends = buckets.select(F.explode(F.array(F.array("cls", "low"), F.array("cls", "high"))).alias("e"), "size")
+    pairs = scratch.keep(ends.select(F.least(F.col("e")[0], F.col("e")[1]).alias("a"), F.greatest(F.col("e")[0], F.col("e")[1]).alias("b")).where("a < b").distinct())
+    tested = pairs
+    links = scratch.keep(verify(docs, reps, pairs, words, threshold, percent, scratch))
+    labels = components(links, scratch)
+    wide = buckets.where("size > 2").select("key", "cls")
+    seed = 0
+    while True:
+        rows = scratch.keep(apart(wide, labels))
+        left = rows.agg(F.count("*").alias("rows"), F.sum("others").alias("pairs")).first()
+        if not left.rows:
+            break
+        seed += 1
+        if left.pairs <= 2 * FEW * left.rows:
+            a, b = rows.alias("x"), rows.alias("y")
+            new = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+            last = True
+        else:
+            salt = F.lit(int(_salt(seed)))
+            pivots = rows.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(salt)).alias("low"), F.max(F.col("cls").bitwiseXOR(salt)).alias("high"))
+            met = rows.join(pivots, "key").select("cls", F.explode(F.array(F.col("low").bitwiseXOR(salt), F.col("high").bitwiseXOR(salt))).alias("pivot"))
+            new = met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).where("a < b")
+            last = False
+        new = scratch.keep(new.distinct().join(tested, ["a", "b"], "left_anti"))
+        more = verify(docs, reps, new, words, threshold, percent, scratch)
+        links = scratch.keep(links.union(more))
+        labels = components(links, scratch)
+        tested = tested.union(new)
+        if last:
+            break
+
+    own = sketch.join(classes, named, "left").select("doc_id", "n", "cls")
+    found = own.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
+    component = F.coalesce("label", "cls", "doc_id")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def _salt(seed: int) -> int:
+    return int(np.random.RandomState(seed).randint(1, 2**62, dtype=np.int64))
+
+
+def apart(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets whose members don't hang together yet, with the number of members of other labels."""
+    rows = wide.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("own"))
+    total = each.groupBy("key").agg(F.sum("own").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    return rows.join(each.join(total, "key"), ["key", "label"]).select("key", "cls", "label", (F.col("all") - F.col("own")).alias("others"))
+
+
+def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, threshold: float, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs a < b of classes, those that are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    near = scratch.keep(reps.join(ids, "cls", "left_semi"))
+    minima_of = near.select("cls", "minima")
+    with_minima = pairs.join(minima_of.toDF("a", "ma"), "a").join(minima_of.toDF("b", "mb"), "b")
+    alive = scratch.keep(prune(with_minima, threshold))
+    wanted = scratch.keep(near.drop("minima").join(alive.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
+    few = wanted.count() <= BROADCAST_IDS
+    id_list = wanted.select(F.col("cls").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(id_list) if few else id_list, "doc_id", "left_semi")
+    sets = full_sets(texts, words)
+    sets = scratch.keep(sets.join(wanted.withColumnRenamed("cls", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles"))
+    joined = alive.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+    return common.where((100 * F.col("i")) >= percent * (F.col("t") - F.col("i"))).select("a", "b")
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The documents that are kept, one of each component, with their own columns."""
+    marked = deduplicate(docs, words, threshold)
+    gone = marked.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

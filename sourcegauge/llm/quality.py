@@ -1,0 +1,244 @@
+"""Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
+
+Fitting. At most ``FIT_ROWS`` labelled documents whose crc32 remainder is not held out, those with
+the smallest hash of their doc_id, and none above ``FIT_CHARS`` characters, are brought to the
+driver: this bound is a parameter, and all else covers all rows. Each token has a sparse random
+index vector made from its hash. A word's vector is the sum of the index vectors of its
+neighbours within ``WINDOW`` tokens over these documents, scaled to length one; a word that was
+not seen keeps its index vector. A vector for its written shape (capitals, digits, marks) is
+added. A document is pooled twice, over its tokens and over its distinct tokens, and its length and
+share of distinct tokens are appended. A two-layer numpy network is trained on four fifths of the
+documents; the temperature that calibrates its probabilities is found on the rest.
+
+Scoring is one pass without an exchange; the fitted arrays, a few MB of fixed size, travel with
+the function.
+
+Defined cases: a null text is an empty text, and an empty text is pooled to zeros and scored; a
+null doc_id counts as not held out when its remainder is null, and is scored; without labels of
+both kinds every score is 0.5; repeated rows stay repeated; an empty table gives an empty table;
+other columns are ignored, and labels, lang, source and doc_id are never inputs of a score.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DIMENSIONS, NONZERO, WINDOW, HIDDEN, INDEX_BITS = 48, 6, 2, 24, 14
+FIT_ROWS, FIT_CHARS, VOCABULARY = 3000, 100_000, 20_000
+#: Token vectors that a process remembers; the memory is emptied when full.
+REMEMBERED = 150_000
+TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+SHAPES = ("lower", "title", "upper", "mixed", "digits", "marks")
+
+
+@lru_cache(maxsize=1)
+def index_table() -> np.ndarray:
+    """Sparse vectors of +1 and -1, as many as there are token hashes."""
+    rng = np.random.RandomState(11)
+    out = np.zeros((1 << INDEX_BITS, DIMENSIONS), dtype=np.float32)
+    places = np.argsort(rng.rand(*out.shape), axis=1)[:, :NONZERO]
+    np.put_along_axis(out, places, rng.choice((-1.0, 1.0), places.shape).astype(np.float32) / math.sqrt(NONZERO), axis=1)
+    return out
+
+
+def index_row(token: str) -> int:
+    return zlib.crc32(token.encode()) & ((1 << INDEX_BITS) - 1)
+
+
+def shape(token: str) -> str:
+    if token[0].isalpha():
+        return "lower" if token.islower() else "upper" if token.isupper() and len(token) > 1 else "title" if token.istitle() else "mixed"
+    return "digits" if token[0].isdigit() else "marks"
+
+
+def word_vectors(texts: Sequence[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Context vectors of the most frequent words of the texts."""
+    tokens = [[t.lower() for t in TOKEN.findall(text)] for text in texts]
+    counts = Counter(t for row in tokens for t in row)
+    words = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
+    index = index_table()[[index_row(w) for w in words]]
+    out = np.zeros_like(index)
+    gap = [-1] * WINDOW  # no context across documents
+    ids = np.array([i for row in tokens for i in (*(words.get(t, -1) for t in row), *gap)], dtype=np.int32)
+    for at in range(0, len(ids), 100_000):
+        for step in range(1, WINDOW + 1):
+            a, b = ids[at : at + 100_000], ids[at + step : at + step + 100_000]
+            a = a[: len(b)]
+            both = (a >= 0) & (b >= 0)
+            for x, y in ((a[both], b[both]), (b[both], a[both])):
+                if len(x):
+                    order = np.argsort(x, kind="stable")
+                    firsts = np.flatnonzero(np.concatenate([[True], np.diff(x[order]) > 0]))
+                    out[x[order][firsts]] += np.add.reduceat(index[y[order]], firsts, axis=0)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return words, np.where(norm > 0, out / np.maximum(norm, 1e-9), index)
+
+
+class Pooling:
+    """Pools texts to rows of ``width`` numbers."""
+
+    width = 2 * DIMENSIONS + 2 * len(SHAPES) + 3
+
+    def __init__(self, words: dict[str, int], vectors: np.ndarray):
+        self.words, self.vectors = words, vectors
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.matrix = np.zeros((1024, DIMENSIONS + len(SHAPES)), dtype=np.float32)
+
+    def row(self, token: str) -> int:
+        i = len(self.rows)
+        if i == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        low = token.lower()
+        at = self.words.get(low)
+        self.matrix[i, :DIMENSIONS] = index_table()[index_row(low)] if at is None else self.vectors[at]
+        self.matrix[i, DIMENSIONS + SHAPES.index(shape(token))] = 1
+        self.rows[token] = i
+        return i
+
+    def pool(self, text: str) -> np.ndarray:
+        counts = Counter(TOKEN.findall(text))
+        if not counts:
+            return np.zeros(self.width, dtype=np.float32)
+        if len(self.rows) + len(counts) > REMEMBERED:
+            self.forget()
+        rows = self.rows
+        ids = np.array([rows[t] if t in rows else self.row(t) for t in counts], dtype=np.int64)
+        n = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
+        got, total = self.matrix[ids], float(n.sum())
+        return np.concatenate([n @ got / total, got.mean(axis=0), [math.log1p(total) / 10, len(counts) / total, min(1.0, len(text) / total / 20)]]).astype(np.float32)
+
+
+@dataclass
+class Network:
+    """Two layers on scaled inputs, and the temperature that divides the last layer's number."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    w1: np.ndarray
+    b1: np.ndarray
+    w2: np.ndarray
+    b2: float
+    temperature: float = 1.0
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))
+
+
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.01, decay: float = 1e-3) -> Network | None:
+    """A network fitted by Adam from a fixed start; None unless both labels occur."""
+    if len(set(y.tolist())) < 2:
+        return None
+    rng = np.random.RandomState(7)
+    held = np.arange(len(y)) % 5 == 4
+    fit = ~held if len(set(y[~held].tolist())) == 2 else np.ones(len(y), bool)
+    net = Network(x[fit].mean(0), x[fit].std(0) + 1e-3, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
+    z, t = (x[fit] - net.mean) / net.scale, y[fit]
+    weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
+    weight = 0.5 + 0.5 * weight
+    params = [net.w1, net.b1, net.w2, np.array([0.0])]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, rounds + 1):
+        h = np.tanh(z @ params[0] + params[1])
+        off = weight * (1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -60, 60))) - t) / len(t)
+        back = np.outer(off, params[2]) * (1 - h * h)
+        grads = [z.T @ back + decay * params[0], back.sum(0), h.T @ off + decay * params[2], np.array([off.sum()])]
+        for i, g in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            params[i] -= rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+    net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
+    net.temperature = calibrate(net.logits(x[held]), y[held]) if held.any() else 1.0
+    return net
+
+
+def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature with the least log loss, by golden section on its logarithm."""
+
+    def loss(log_t: float) -> float:
+        z = logits / math.exp(log_t)
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    low, high, g = -2.0, 3.0, (math.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = high - g * (high - low), low + g * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return math.exp((low + high) / 2)
+
+
+@dataclass
+class Classifier:
+    words: dict[str, int]
+    vectors: np.ndarray
+    network: Network | None
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
+    """Fits on at most ``rows`` labelled documents, those of the smallest hash that aren't held out."""
+    chosen = (
+        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max("quality").alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(rows)
+    )
+    marks = {r.doc_id: float(r.quality >= 1) for r in chosen.collect()}
+    if not marks:
+        return Classifier({}, np.zeros((0, DIMENSIONS), np.float32), None)
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in marks], "wanted bigint")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.where(F.length(text) <= FIT_CHARS).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").select("doc_id", text.alias("text")).collect()
+    found = sorted({r.doc_id: r.text for r in found}.items(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    words, vectors = word_vectors([t for _, t in found])
+    pooling = Pooling(words, vectors)
+    x = np.array([pooling.pool(t) for _, t in found], dtype=np.float64).reshape(-1, Pooling.width)
+    return Classifier(words, vectors, train(x, np.array([marks[i] for i, _ in found])))
+
+
+def scored(docs: DataFrame, classifier: Classifier, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id and score of each document, and its columns named by ``keep``."""
+    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), *keep)
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    schema = kept.drop("_text")
+    names = [*schema.columns, "score"]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields), "score double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = shared.value
+        pooling = Pooling(got.words, got.vectors)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            if got.network is None or not texts:
+                score = np.full(len(texts), 0.5)
+            else:
+                score = got.network.score(np.array([pooling.pool(t) for t in texts], dtype=np.float64))
+            columns = [c for i, c in enumerate(batch.columns) if i != 1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], names)
+
+    return kept.mapInArrow(run, ddl)
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document."""
+    out = scored(docs, fit(docs, labels))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegauge.llm import chat, piece_codec, url_filter
+from sourcegauge.llm import chat, near_dedup, pii, piece_codec, quality, url_filter
 from sourcegauge.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,10 +24,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_table(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(
@@ -37,6 +45,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"), words=4)
+
+
 OP7_SQL = """
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -54,8 +66,11 @@ from turns group by conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
+    "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 SQL: dict[str, str] = {"op7_chat_format": OP7_SQL}
