@@ -4,18 +4,18 @@
    set. Documents with equal sets form a class, known by its smallest doc_id.
 2. The minima of each class are cut into 32 bands of 4. Classes that agree on a band share a
    bucket; at a similarity of 0.8 a pair shares no bucket once in 20 million.
-3. Links are only needed until all that are linked hang together. So each bucket compares its
-   members with a few pivots (its smallest and largest class, in later rounds others), not
-   with each other: the pairs grow with the members. Pairs whose ends hang together already are
-   dropped; what is left apart in a bucket goes to the next round with other pivots, and when
-   the pairs still untested are few, all of these are tested. Each round tests a member of every
-   bucket that is left against the whole bucket, so the rounds end, and no pair that shares a
-   bucket and isn't joined by other links stays untested.
+3. Links are only needed until all that are linked hang together. So each bucket first compares its
+   members with two pivots, its smallest and its largest class: these pairs grow with the
+   members, not with their square.
 4. A pair is verified in batches of 32 minima. After each batch the posterior of the similarity,
    with a flat prior, is Beta(1 + agreeing, 1 + differing); a pair is dropped once the
    probability of reaching the threshold falls below ``MISS``. Survivors are checked on the
    full shingle sets.
 5. Components come from rounds of smallest-neighbour labels over the links, in DataFrames.
+6. Buckets of three or more whose members still don't hang together are compared whole, in blocks
+   of bounded size: a task holds two blocks as bit sets over the shingles that they share and
+   counts common shingles exactly. It puts out only links that join labels, no pairs. So
+   no pair that shares a bucket stays untested, unless its ends hang together already.
 
 Equal classes, hot buckets and hot pivots are met by aggregation before the shuffle and by joins
 that adaptive execution can split. Only numbers of rows reach the driver.
@@ -42,8 +42,8 @@ from sourcegauge.llm.common import Scratch
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
 BATCH, MISS = 32, 1e-6
-#: Pairs of classes left apart that are all tested at once, for each member of a bucket; more take another round of pivots.
-FEW = 4
+#: Members and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 #: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -216,36 +216,14 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high")
     buckets = scratch.keep(keyed.join(shared, "key"))
 
-    ends = buckets.select(F.explode(F.array(F.array("cls", "low"), F.array("cls", "high"))).alias("e"), "size")
+    sets = member_sets(docs, reps, buckets, words, scratch)
+    ends = buckets.select(F.explode(F.array(F.array("cls", "low"), F.array("cls", "high"))).alias("e"))
     pairs = scratch.keep(ends.select(F.least(F.col("e")[0], F.col("e")[1]).alias("a"), F.greatest(F.col("e")[0], F.col("e")[1]).alias("b")).where("a < b").distinct())
-    tested = pairs
-    links = scratch.keep(verify(docs, reps, pairs, words, threshold, percent, scratch))
+    links = scratch.keep(verify(pairs, reps, sets, threshold, percent, scratch))
     labels = components(links, scratch)
-    wide = buckets.where("size > 2").select("key", "cls")
-    seed = 0
-    while True:
-        rows = scratch.keep(apart(wide, labels))
-        left = rows.agg(F.count("*").alias("rows"), F.sum("others").alias("pairs")).first()
-        if not left.rows:
-            break
-        seed += 1
-        if left.pairs <= 2 * FEW * left.rows:
-            a, b = rows.alias("x"), rows.alias("y")
-            new = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-            last = True
-        else:
-            salt = F.lit(int(_salt(seed)))
-            pivots = rows.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(salt)).alias("low"), F.max(F.col("cls").bitwiseXOR(salt)).alias("high"))
-            met = rows.join(pivots, "key").select("cls", F.explode(F.array(F.col("low").bitwiseXOR(salt), F.col("high").bitwiseXOR(salt))).alias("pivot"))
-            new = met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).where("a < b")
-            last = False
-        new = scratch.keep(new.distinct().join(tested, ["a", "b"], "left_anti"))
-        more = verify(docs, reps, new, words, threshold, percent, scratch)
-        links = scratch.keep(links.union(more))
-        labels = components(links, scratch)
-        tested = tested.union(new)
-        if last:
-            break
+    more = scratch.keep(block_links(scratch.keep(apart(buckets, labels)), sets, percent))
+    if more.limit(1).count():
+        labels = components(links.union(more), scratch)
 
     own = sketch.join(classes, named, "left").select("doc_id", "n", "cls")
     found = own.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
@@ -253,36 +231,97 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _salt(seed: int) -> int:
-    return int(np.random.RandomState(seed).randint(1, 2**62, dtype=np.int64))
-
-
-def apart(wide: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets whose members don't hang together yet, with the number of members of other labels."""
-    rows = wide.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-    each = rows.groupBy("key", "label").agg(F.count("*").alias("own"))
-    total = each.groupBy("key").agg(F.sum("own").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    return rows.join(each.join(total, "key"), ["key", "label"]).select("key", "cls", "label", (F.col("all") - F.col("own")).alias("others"))
+def member_sets(docs: DataFrame, reps: DataFrame, buckets: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """cls, shingles of every class that shares a bucket, from the text of its smallest doc_id."""
+    wanted = scratch.keep(reps.drop("minima").join(buckets.select("cls").distinct(), "cls", "left_semi"))
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select(F.col("cls").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    named = wanted.select(F.col("cls").alias("doc_id"), "d1", "d2")
+    found = full_sets(texts, words).join(named, ["doc_id", "d1", "d2"], "left_semi")
+    return scratch.keep(found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "shingles"))
 
 
-def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, threshold: float, percent: int, scratch: Scratch) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs a < b of classes, those that are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    near = scratch.keep(reps.join(ids, "cls", "left_semi"))
-    minima_of = near.select("cls", "minima")
-    with_minima = pairs.join(minima_of.toDF("a", "ma"), "a").join(minima_of.toDF("b", "mb"), "b")
+    near = scratch.keep(reps.select("cls", "minima").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
+    with_minima = pairs.join(near.toDF("a", "ma"), "a").join(near.toDF("b", "mb"), "b")
     alive = scratch.keep(prune(with_minima, threshold))
-    wanted = scratch.keep(near.drop("minima").join(alive.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
-    few = wanted.count() <= BROADCAST_IDS
-    id_list = wanted.select(F.col("cls").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(id_list) if few else id_list, "doc_id", "left_semi")
-    sets = full_sets(texts, words)
-    sets = scratch.keep(sets.join(wanted.withColumnRenamed("cls", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles"))
     joined = alive.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return common.where((100 * F.col("i")) >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
+def apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, cls, label of the buckets of three or more whose members don't hang together yet."""
+    rows = buckets.where("size > 2").select("key", "cls").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
+    rows = rows.select("key", "cls", F.coalesce("label", "cls").alias("label"))
+    parted = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return rows.join(parted, "key", "left_semi")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each of some sets and each of others."""
+    sizes = [len(x) for x in (*left, *right)]
+    values, where, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = np.cumsum(counts > 1) - 1
+    use = counts[where] > 1
+    owner = np.repeat(np.arange(len(sizes)), sizes)[use]
+    column = shared[where][use]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    step = 4096
+    for at in range(0, int(column.max(initial=-1)) + 1, step):
+        inside = (column >= at) & (column < at + step)
+        bits = np.zeros((len(sizes), step), dtype=bool)
+        bits[owner[inside], column[inside] - at] = True
+        packed = np.packbits(bits, axis=1).view(U)
+        a, b = packed[: len(left)], packed[len(left) :]
+        for i in range(len(left)):
+            out[i] += np.bitwise_count(b & a[i]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def joining_links(cls: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows ``first`` and rows ``second`` that join labels which don't hang together by earlier ones."""
+    common = common_counts([sets[i] for i in first], [sets[i] for i in second])
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    near = 100 * common >= percent * (size[first][:, None] + size[second][None, :] - common)
+    near &= labels[first][:, None] != labels[second][None, :]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y = top(int(labels[first[i]])), top(int(labels[second[j]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(cls[first[i]]), int(cls[second[j]])))
+    return out
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b that join different labels in a bucket, from comparing all its members in pairs of blocks."""
+    sized = rows.join(sets.select("cls", F.size("shingles").alias("n")), "cls")
+    of = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = rows.join(of, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    pairs = dealt.select("key", "cls", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    task = pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "label").join(sets, "cls")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        cls, labels, own = (table.column(c).to_numpy() for c in ("cls", "label", "own"))
+        lists = [x.values.to_numpy() for x in table.column("shingles").combine_chunks()] if table.num_rows else []
+        first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = joining_links(cls, labels, lists, first, second, percent) if len(first) and len(second) else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return task.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents that are kept, one of each component, with their own columns."""
     marked = deduplicate(docs, words, threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegauge.llm import chat, near_dedup, pii, piece_codec, quality, url_filter
+from sourcegauge.llm import ann, chat, html_extract, near_dedup, pii, piece_codec, quality, url_filter
 from sourcegauge.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_table(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,10 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_table(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -66,8 +74,10 @@ from turns group by conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_html_extract": op2_html_extract,
     "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
+    "op5_nearest": op5_nearest,
     "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
     "op9_near_dedup": op9_near_dedup,
