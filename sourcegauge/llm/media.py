@@ -1,0 +1,204 @@
+"""Media columns: cropped or edited copies of images by local descriptors.
+
+An image (binary PGM) is read into grey levels and scaled to a small pyramid. In each level the strongest
+corners are kept, each turned by its intensity centroid, and described by 128 binary tests of
+smoothed grey levels. A descriptor is cut into four parts of 32 bits; descriptors that agree in a part
+meet in a hash join on (part, bits), a Hamming table, and stay if they differ in at most ``BITS_APART``
+bits. The matches of a pair of images are then put to a vote: each match proposes a scale, a
+turn and a shift, and a pair is reported if at least ``INLIERS`` of its corners agree on one.
+
+The tables of this project have no images, so ``render`` draws one from each row of embeddings, and
+``edited`` crops, brightens and roughens it: the query looks the edited copies of the images whose
+id is divisible by 100 up among the images of all rows.
+
+Defined cases: null images, and those that aren't PGM or are smaller than a patch, have no descriptors
+and take no part; flat images have no corners; repeated ids are images of one id; an empty table
+gives an empty table; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sourcegauge.llm.common import Scratch
+
+SIDE, CELLS = 96, 16
+CORNERS, LEVELS, RADIUS, TESTS, TURNS = 24, (1.0, 0.7), 10, 128, 32
+MARGIN = RADIUS + 4
+BITS_APART, INLIERS, NEAR = 20, 4, 3.0
+_rng = np.random.RandomState(77)
+PROJECTION = _rng.normal(0, 1, (64, CELLS * CELLS))
+PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
+_a = np.arange(TURNS) * 2 * np.pi / TURNS
+_c, _s = np.cos(_a)[:, None], np.sin(_a)[:, None]
+#: The pattern's points (y and x, of both sides) for each turn.
+TURNED = np.stack([np.rint(f) for x, y in ((PATTERN[:, 0], PATTERN[:, 1]), (PATTERN[:, 2], PATTERN[:, 3])) for f in (_s * x + _c * y, _c * x - _s * y)]).astype(int)
+DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
+HEADER = re.compile(rb"P5\s+(?:#[^\n]*\s+)*(\d{1,5})\s+(\d{1,5})\s+(\d{1,3})\s", re.S)
+
+FOUND = "id bigint, x array<float>, y array<float>, level array<int>, turn array<int>, high array<bigint>, low array<bigint>"
+
+
+def to_pgm(grey: np.ndarray) -> bytes:
+    return b"P5\n%d %d\n255\n" % (grey.shape[1], grey.shape[0]) + grey.astype(np.uint8).tobytes()
+
+
+def from_pgm(data: bytes | None) -> np.ndarray | None:
+    m = HEADER.match(data) if data else None
+    if not m:
+        return None
+    width, height = int(m[1]), int(m[2])
+    body = data[m.end() : m.end() + width * height]
+    return np.frombuffer(body, np.uint8).reshape(height, width).astype(np.float32) if len(body) == width * height and width and height else None
+
+
+def draw(vector: np.ndarray) -> np.ndarray:
+    """A picture of a vector: cells whose grey levels are fixed mixes of its components."""
+    if len(vector) != len(PROJECTION):
+        vector = np.resize(vector, len(PROJECTION))
+    cells = np.clip(128 + 80 * (vector @ PROJECTION), 0, 255).reshape(CELLS, CELLS)
+    return smooth(np.kron(cells, np.ones((SIDE // CELLS, SIDE // CELLS)))).astype(np.uint8)
+
+
+def edit(grey: np.ndarray, seed: int) -> np.ndarray:
+    """A cropped, brightened and roughened copy."""
+    rng = np.random.RandomState(seed % 2**32)
+    a, b, c, d = rng.randint(2, 11, 4)
+    part = grey[a : SIDE - b, c : SIDE - d].astype(float)
+    return np.clip(part * rng.uniform(0.85, 1.1) + rng.uniform(-15, 15) + rng.normal(0, 1.0, part.shape), 0, 255).astype(np.uint8)
+
+
+def smooth(grey: np.ndarray, size: int = 3) -> np.ndarray:
+    """Means over squares of ``size``."""
+    r = size // 2
+    p = np.pad(grey.astype(np.float64), ((r + 1, r), (r + 1, r)), mode="edge").cumsum(0).cumsum(1)
+    return (p[size:, size:] - p[:-size, size:] - p[size:, :-size] + p[:-size, :-size]) / (size * size)
+
+
+def shrink(grey: np.ndarray, scale: float) -> np.ndarray:
+    """Bilinear resize."""
+    if scale == 1:
+        return grey
+    h, w = (int(n * scale) for n in grey.shape)
+    y, x = (np.clip((np.arange(n) + 0.5) / scale - 0.5, 0, m - 1.001) for n, m in ((h, grey.shape[0]), (w, grey.shape[1])))
+    y0, x0 = y.astype(int), x.astype(int)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    rows, below = grey[y0], grey[y0 + 1]
+    return (rows[:, x0] * (1 - fx) + rows[:, x0 + 1] * fx) * (1 - fy) + (below[:, x0] * (1 - fx) + below[:, x0 + 1] * fx) * fy
+
+
+def corners(grey: np.ndarray, most: int) -> np.ndarray:
+    """(y, x) of the strongest corners, strongest first."""
+    gy, gx = np.zeros_like(grey), np.zeros_like(grey)
+    gy[1:-1], gx[:, 1:-1] = grey[2:] - grey[:-2], grey[:, 2:] - grey[:, :-2]
+    a, b, c = smooth(gx * gx, 5), smooth(gy * gy, 5), smooth(gx * gy, 5)
+    strength = a * b - c * c - 0.05 * (a + b) ** 2
+    inner = strength[MARGIN:-MARGIN, MARGIN:-MARGIN]
+    around = np.lib.stride_tricks.sliding_window_view(strength[MARGIN - 2 : strength.shape[0] - MARGIN + 2, MARGIN - 2 : strength.shape[1] - MARGIN + 2], (5, 5)).max((2, 3))
+    y, x = np.nonzero((inner == around) & (inner > 1.0))
+    order = np.argsort(-inner[y, x], kind="stable")[:most]
+    return np.stack([y[order], x[order]], axis=1) + MARGIN
+
+
+def describe_image(data: bytes | None) -> tuple[np.ndarray, ...]:
+    """x, y, level, turn, high and low 64 bits of each descriptor, in the image's own scale."""
+    grey = from_pgm(data)
+    out: list[tuple[np.ndarray, ...]] = []
+    for level, scale in enumerate(LEVELS if grey is not None else ()):
+        small = shrink(grey.astype(np.float64), scale)
+        if min(small.shape) <= 2 * MARGIN + 4:
+            continue
+        at = corners(small, round(CORNERS * scale * scale))
+        if not len(at):
+            continue
+        soft = smooth(small, 5)
+        disc = soft[at[:, 0, None] + DISC[None, :, 0], at[:, 1, None] + DISC[None, :, 1]]
+        disc = disc - disc.mean(1, keepdims=True)
+        angle = np.arctan2(disc @ DISC[:, 0], disc @ DISC[:, 1])
+        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
+        y1, x1, y2, x2 = (TURNED[i][turn] for i in range(4))
+        bits = soft[at[:, 0, None] + y1, at[:, 1, None] + x1] < soft[at[:, 0, None] + y2, at[:, 1, None] + x2]
+        words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+        out.append((at[:, 1] / scale, at[:, 0] / scale, np.full(len(at), level), turn, words[:, 0], words[:, 1]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0) for _ in range(6))
+
+
+def describe(images: DataFrame) -> DataFrame:
+    """The descriptors of each image (id, image), those without any left out."""
+    kinds = (pa.float32(), pa.float32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                got = [describe_image(d) for d in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([g[k] for g in got], pa.list_(kind)) for k, kind in enumerate(kinds))], ["id", "x", "y", "level", "turn", "high", "low"])
+
+    return images.select(F.col("id").cast("bigint").alias("id"), "image").where("id is not null and image is not null").mapInArrow(run, FOUND).where(F.size("x") > 0)
+
+
+def tables(found: DataFrame) -> DataFrame:
+    """A row for each descriptor and each of its four parts."""
+    each = found.select("id", F.posexplode(F.arrays_zip("x", "y", "level", "turn", "high", "low")).alias("corner", "d")).select("id", "corner", "d.*")
+    low32 = F.lit(0xFFFFFFFF).cast("bigint")
+    parts = F.array(F.shiftrightunsigned("high", 32), F.col("high").bitwiseAND(low32), F.shiftrightunsigned("low", 32), F.col("low").bitwiseAND(low32))
+    return each.select("*", F.posexplode(parts).alias("part", "bits"))
+
+
+def consensus(matches: np.ndarray) -> tuple[int, float, float, float]:
+    """Corners that agree on one similarity transform, its scale and shift. Rows: query corner, image corner, qx, qy, q level, q turn, x, y, level, turn."""
+    qc, ic, qx, qy, ql, qt, x, y, level, turn = matches.T
+    sizes = np.array(LEVELS)
+    best = (0, 1.0, 0.0, 0.0)
+    scale = sizes[level.astype(int)] / sizes[ql.astype(int)]
+    angle = (qt - turn) * 2 * np.pi / TURNS
+    cos, sin = np.cos(angle) * scale, np.sin(angle) * scale
+    for i in range(len(matches)):
+        dx, dy = qx[i] - (cos[i] * x[i] - sin[i] * y[i]), qy[i] - (sin[i] * x[i] + cos[i] * y[i])
+        fits = np.hypot(cos[i] * x - sin[i] * y + dx - qx, sin[i] * x + cos[i] * y + dy - qy) <= NEAR
+        n = min(len(set(qc[fits].tolist())), len(set(ic[fits].tolist())))
+        if n > best[0]:
+            best = (n, float(scale[i]), float(dx), float(dy))
+    return best
+
+
+def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
+    """query_id, image_id, matches, inliers, scale, dx, dy of pairs of which one image holds a copy of the other."""
+    scratch = Scratch(images.sparkSession, "media")
+    probe, index = tables(scratch.keep(describe(queries))), tables(scratch.keep(describe(images)))
+    left = probe.select("part", "bits", *[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "turn", "high", "low")])
+    apart = F.bit_count(F.col("high").bitwiseXOR(F.col("q_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("q_low")))
+    met = left.join(index, ["part", "bits"]).where(apart <= BITS_APART)
+    match = F.array(*[F.col(c).cast("float") for c in ("q_corner", "corner", "q_x", "q_y", "q_level", "q_turn", "x", "y", "level", "turn")])
+    pairs = met.groupBy(F.col("q_id").alias("query_id"), F.col("id").alias("image_id")).agg(F.collect_set(match).alias("matches")).where(F.size("matches") >= INLIERS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [consensus(np.array(sorted(map(tuple, m)), dtype=float)) for m in frame["matches"]]
+            yield pd.DataFrame({"query_id": frame["query_id"], "image_id": frame["image_id"], "matches": [len(m) for m in frame["matches"]], "inliers": [g[0] for g in got], "scale": [g[1] for g in got], "dx": [g[2] for g in got], "dy": [g[3] for g in got]})
+
+    schema = "query_id bigint, image_id bigint, matches int, inliers int, scale double, dx double, dy double"
+    return pairs.mapInPandas(run, schema).where(F.col("inliers") >= INLIERS)
+
+
+def render(vectors: DataFrame, copies: bool = False, every: int = 100) -> DataFrame:
+    """id, image: a picture of each vector, or the edited copies of those whose id is divisible by ``every``."""
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    rows = rows.where(F.pmod("id", F.lit(every)) == 0) if copies else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            drawn = [draw(np.array(v)) for v in batch.column(1).to_pylist()]
+            images = [to_pgm(edit(g, i) if copies else g) for i, g in zip(ids, drawn, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["id", "image"])
+
+    return rows.mapInArrow(run, "id bigint, image binary")

@@ -242,3 +242,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
     out = scored(docs, fit(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_good(docs: DataFrame, classifier: Classifier, at: float = 0.5) -> DataFrame:
+    """The documents whose score is at least ``at``, with the columns of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = shared.value
+        pooling = Pooling(got.words, got.vectors)
+        for batch in batches:
+            if got.network is not None and batch.num_rows:
+                x = np.array([pooling.pool(t or "") for t in batch.column(1).to_pylist()], dtype=np.float64)
+                batch = batch.filter(pa.array(got.network.score(x) >= at))
+            yield batch
+
+    return docs.select(*COLUMNS).mapInArrow(run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
