@@ -14,8 +14,8 @@ from sourcegauge.llm.queries import piece_model_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. It is fitted on labelled documents of the table, as read."""
-    classifier = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier rejects go. It is fitted on labelled ones of them."""
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, classifier)
 
 

@@ -1,0 +1,69 @@
+"""Order-dependent steps on duplicate groups: greedy selection and gap merging."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SHED_ROUNDS = 20
+
+
+def greedy(rows: Sequence[tuple[str, str, int, int, int]], files: int = 1) -> list[int]:
+    """Indexes of the regions (key, file, start, end, tokens) that are kept.
+
+    Regions are taken by coverage, group size times tokens, then by file and start; one that overlaps a taken
+    region of its file is left. Groups that end up with fewer than two regions, or in fewer than ``files``
+    files, are shed and the rest is selected anew.
+    """
+    live = set(range(len(rows)))
+    kept: list[int] = []
+    for _ in range(SHED_ROUNDS):
+        sizes: dict[str, int] = defaultdict(int)
+        for i in live:
+            sizes[rows[i][0]] += 1
+        order = sorted(live, key=lambda i: (-sizes[rows[i][0]] * rows[i][4], rows[i][1], rows[i][2], i))
+        taken: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        kept = []
+        for i in order:
+            _, file, start, end, _ = rows[i]
+            if all(end <= a or b <= start for a, b in taken[file]):
+                taken[file].append((start, end))
+                kept.append(i)
+        groups: dict[str, list[int]] = defaultdict(list)
+        for i in kept:
+            groups[rows[i][0]].append(i)
+        lost = {k for k, g in groups.items() if len(g) < 2 or len({rows[i][1] for i in g}) < files}
+        lost |= {rows[i][0] for i in live} - set(groups)
+        if not lost & set(groups):
+            break
+        live = {i for i in live if rows[i][0] not in lost}
+    lost = {rows[i][0] for i in kept if sum(rows[j][0] == rows[i][0] for j in kept) < 2}
+    return sorted(i for i in kept if rows[i][0] not in lost)
+
+
+def merge_gaps(first: Sequence[tuple[int, int]], second: Sequence[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """Pairs each region of ``second`` with the earliest unused region of ``first`` that ends at most ``gap`` before it, and joins them."""
+    used: set[int] = set()
+    out = []
+    for start, end in sorted(second):
+        for i, (a, b) in enumerate(sorted(first)):
+            if i not in used and 0 <= start - b <= gap:
+                used.add(i)
+                out.append((a, end))
+                break
+    return out
+
+
+def select_regions(candidates: DataFrame) -> DataFrame:
+    """The greedy choice among the candidates of each file: file, key, first_line, last_line, n_tokens."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["first_line", "last_line", "key"]).reset_index(drop=True)
+        rows = [(r.key, str(r.file), r.first_line, r.last_line + 1, r.n_tokens) for r in frame.itertuples()]
+        return frame.loc[greedy(rows), ["file", "key", "first_line", "last_line", "n_tokens"]]
+
+    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in ("file", "key", "first_line", "last_line", "n_tokens"))
+    return candidates.groupBy("file").applyInPandas(run, schema)

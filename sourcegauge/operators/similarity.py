@@ -1,0 +1,123 @@
+"""Similarity of token sequences: shared n-grams, multiset overlap, common subsequences, components, matching."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from sourcegauge.plans.session import checkpoint_dir
+
+NGRAM = 5
+
+
+def ngrams(said: Column, n: int = NGRAM) -> Column:
+    """Distinct runs of n tokens, joined by spaces."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(said) - (n - 1)), lambda i: F.array_join(F.slice(said, i, F.lit(n)), " "))
+    return F.array_distinct(F.when(F.size(said) >= n, runs).otherwise(F.array().cast("array<string>")))
+
+
+def shared_ngrams(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, shared: numbers of common n-grams, from rows of id and gram. The join follows the grams, not the pairs."""
+    return left.select(F.col("id").alias("a"), "gram").join(right.select(F.col("id").alias("b"), "gram"), "gram").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, overlap: sizes of the multiset intersections of pairs, from rows of id and token."""
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.col("id").alias(name), "token").agg(F.count("*").alias(f"n_{name}"))
+
+    met = pairs.join(counts(left, "a"), "a").join(counts(right, "b"), ["b", "token"])
+    return met.groupBy("a", "b").agg(F.sum(F.least("n_a", "n_b")).alias("overlap"))
+
+
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence, with one big integer as the row of the table."""
+    if not len(a) or not len(b):
+        return 0
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        u = row & at.get(y, 0)
+        row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def lcs_percent(a: pd.Series, b: pd.Series) -> pd.Series:
+    """100 * common subsequence / longer length, rounded down; 0 for two empty sequences."""
+    return pd.Series([100 * lcs_length(x, y) // max(len(x), len(y)) if len(x) or len(y) else 0 for x, y in zip(a, b, strict=True)])
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """a, b, percent of pairs at least so similar, from rows of id, bucket and sequence. Lengths are compared before sequences."""
+    n = lambda c: F.size(c)
+    pairs = left.toDF("a", "bucket", "sa").join(right.toDF("b", "bucket", "sb"), "bucket")
+    near = pairs.where((F.least(n("sa"), n("sb")) * 100 >= F.greatest(n("sa"), n("sb")) * least) & (F.greatest(n("sa"), n("sb")) > 0))
+    return near.select("a", "b", lcs_percent("sa", "sb").alias("percent")).where(F.col("percent") >= least)
+
+
+def best_matching(rows: Sequence[tuple[str, str, int]]) -> list[tuple[str, str]]:
+    """A largest one-to-one matching of pairs (a, b, percent): best first, then augmented; pairs of 100 stay."""
+    mate_a: dict[str, str] = {}
+    mate_b: dict[str, str] = {}
+    locked: set[str] = set()
+    for a, b, percent in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in mate_a and b not in mate_b:
+            mate_a[a], mate_b[b] = b, a
+            if percent == 100:
+                locked.add(b)
+    options: dict[str, list[str]] = {}
+    for a, b, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        options.setdefault(a, []).append(b)
+
+    def augment(a: str, seen: set[str]) -> bool:
+        for b in options[a]:
+            if b in seen or b in locked:
+                continue
+            seen.add(b)
+            if b not in mate_b or augment(mate_b[b], seen):
+                mate_a[a], mate_b[b] = b, a
+                return True
+        return False
+
+    for a in sorted(options):
+        if a not in mate_a:
+            augment(a, set())
+    return sorted(mate_a.items())
+
+
+def match_groups(pairs: DataFrame) -> DataFrame:
+    """bucket, a, b: the matching of each bucket, from bucket, a, b, percent."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        got = best_matching([(str(r.a), str(r.b), int(r.percent)) for r in frame.itertuples()])
+        return pd.DataFrame({"bucket": [frame["bucket"].iloc[0]] * len(got), "a": [a for a, _ in got], "b": [b for _, b in got]})
+
+    kind = pairs.schema["bucket"].dataType.simpleString()
+    return pairs.groupBy("bucket").applyInPandas(one, f"bucket {kind}, a string, b string")
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """id, root: the smallest id of each id's component, from edges a, b. Each round is cut off with a reliable checkpoint."""
+    spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    roots = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")).checkpoint()
+    for _ in range(most_rounds):
+        near = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("near"))
+        via = roots.join(near, roots.id == near.a).select("id", F.col("root").alias("old"), F.least("root", "near").alias("via"))
+        jump = roots.select(F.col("id").alias("via"), F.col("root").alias("jump"))
+        new = via.join(jump, "via", "left").select("id", "old", F.least("via", F.coalesce("jump", "via")).alias("root")).checkpoint()
+        roots = new.select("id", "root")
+        if not new.where("old <> root").limit(1).count():
+            break
+    return roots

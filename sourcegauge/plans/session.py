@@ -1,0 +1,17 @@
+"""What plans read from the session."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where all run in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="sourcegauge-")
