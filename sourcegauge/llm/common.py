@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def least_hashes(df: DataFrame, column: str, rows: int, total: int) -> DataFrame:
+    """The rows of the smallest hashes of a column, ``rows`` of ``total`` at most.
+
+    Most rows are left out by a bound on the hash before any are ordered, so that what tasks send on to be ordered
+    doesn't grow with their number.
+    """
+    hashed = F.xxhash64(column)
+    if total > 4 * rows:
+        df = df.where(hashed < -(2**63) + int(2**64 * (2 * rows / total)))
+    return df.orderBy(hashed, column).limit(rows)
+
+
 class Scratch:
     """Written tables of one query. Each is a cut in the lineage that survives lost executors.
 

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcegauge.llm.common import least_hashes
+
 DIMENSIONS, NONZERO, WINDOW, HIDDEN, INDEX_BITS = 48, 6, 2, 24, 14
 FIT_ROWS, FIT_CHARS, VOCABULARY = 3000, 100_000, 20_000
 #: Token vectors that a process remembers; the memory is emptied when full.
@@ -195,13 +197,9 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     """Fits on at most ``rows`` labelled documents, those of the smallest hash that aren't held out."""
-    chosen = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    each = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = least_hashes(each, "doc_id", rows, usable.count())
     marks = {r.doc_id: float(r.quality >= 1) for r in chosen.collect()}
     if not marks:
         return Classifier({}, np.zeros((0, DIMENSIONS), np.float32), None)
