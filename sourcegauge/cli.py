@@ -1,0 +1,41 @@
+"""Command line: rank a folder, or gate a change set."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import sys
+
+from pyspark.sql import SparkSession
+
+from sourcegauge.plans.rank import rank_files
+from sourcegauge.sources import scan
+
+
+def positive(text: str) -> int:
+    n = int(text)
+    if n < 1:
+        raise argparse.ArgumentTypeError("must be a positive integer")
+    return n
+
+
+def main(argv: list[str] | None = None) -> int:
+    parser = argparse.ArgumentParser(prog="sourcegauge", description=__doc__)
+    parser.add_argument("target", nargs="?", default=".")
+    parser.add_argument("--top", type=positive, default=10)
+    parser.add_argument("--include-tests", action="store_true")
+    parser.add_argument("--json", action="store_true")
+    options = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("sourcegauge").getOrCreate()
+    rows = rank_files(scan.scan_directory(spark, options.target, options.include_tests), options.top).toJSON().collect()
+    if options.json:
+        print(json.dumps([json.loads(r) for r in rows], indent=2))
+    else:
+        for n, row in enumerate(map(json.loads, rows), 1):
+            worst = row.get("worst_function") or {}
+            print(f"{n}. {row['file']}  score {row['score']:.3f}  NCSS {row['ncss']}  duplicated {row['duplicated']}  worst {worst.get('name', '-')} ({worst.get('cognitive', 0)})")
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

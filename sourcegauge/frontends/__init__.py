@@ -1,0 +1 @@
+"""Frontends: source text to rows of syntax facts."""
