@@ -10,7 +10,7 @@ BACKTICKS = {"javascript", "jsx", "typescript", "tsx", "go"}
 TOKEN = {
     "slash": re.compile(r"""//[^\n\r]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*+"?|'(?:\\.|[^'\\\n])*+'?|`(?:\\.|[^`\\])*+`?""", re.S),
     "rust": re.compile(r"""//[^\n\r]*|/\*|r(#*)".*?"\1|b?"(?:\\.|[^"\\])*+"?|'(?:\\.[^']*|[^'\\\n])'""", re.S),
-    "hash": re.compile(r"""\#[^\n\r]*|^=begin\b.*?^=end[^\n\r]*|"(?:\\.|[^"\\])*+"?|'(?:\\.|[^'\\])*+'?""", re.S | re.M),
+    "hash": re.compile(r"""\#[^\n\r]*|^=begin\b.*?^=end[^\n\r]*|<<[~-]?(["']?)([A-Z_]\w*)\1[^\n]*\n.*?^[ \t]*\2\b|"(?:\\.|[^"\\\n])*+"?|'(?:\\.|[^'\\\n])*+'?""", re.S | re.M),
 }
 REGEX_BEFORE = re.compile(r"(?:^|[=(,:\[!&|?{};+\-*%<>~^]|\b(?:return|typeof|case|in|of|delete|void|throw|new))\s*$")
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")

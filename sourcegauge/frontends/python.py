@@ -13,6 +13,8 @@ import keyword
 import re
 import token as tk
 import tokenize
+import zlib
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 # Texts that count as operators.
@@ -42,6 +44,8 @@ class Fact:
     end_line: int = 0
     end_col: int = 0
     parameters: int = 0
+    dep_degree: int = 0
+    sequence: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -183,9 +187,70 @@ def facts(code: str) -> list[Fact]:
     root = walk.add("module", 0, 0, -1)
     walk.body(tree.body, 0, 0, -1, False)
     walk.done(root)
+    with_data_flow(code, tree, [f for f in walk.facts if f.is_fn], walk)
     return walk.facts
 
 
+# What after a name writes it, and what reads and writes it.
+ASSIGNS = ("=", ":=")
+UPDATES = frozenset("+= -= *= /= %= **= //= <<= >>= &= |= ^= @=".split())
+
+
+def bound_places(tree: ast.AST, walk: Walk) -> set[tuple[int, int]]:
+    """Where names are bound by their place in the syntax: loop and list targets, annotated targets, parameters."""
+    out = set()
+    for node in ast.walk(tree):
+        targets: list[ast.AST] = []
+        if isinstance(node, (ast.For, ast.AsyncFor, ast.comprehension, ast.AnnAssign)):
+            targets = [node.target]
+        elif isinstance(node, ast.Assign):
+            targets = node.targets
+        elif isinstance(node, ast.arg):
+            out.add((node.lineno, walk.column(node.lineno, node.col_offset)))
+        for target in targets:
+            for name in target.elts if isinstance(target, ast.Tuple) else [target]:
+                if isinstance(name, ast.Name):
+                    out.add((name.lineno, walk.column(name.lineno, name.col_offset)))
+    return out
+
+
+def with_data_flow(code: str, tree: ast.AST, functions: list[Fact], walk: Walk) -> None:
+    """Fills in each function's def-use pairs and its token sequence, in which names are numbered by first use."""
+    if not functions:
+        return
+    bound = bound_places(tree, walk)
+    skip = (tk.COMMENT, tk.NL, tk.NEWLINE, tk.INDENT, tk.DEDENT, tk.ENDMARKER)
+    tokens = [t for t in tokenize.generate_tokens(io.StringIO(code).readline) if t.type not in skip]
+    starts = [t.start for t in tokens]
+    for f in functions:
+        first, end = bisect_left(starts, (f.start_line, f.start_col)), bisect_left(starts, (f.end_line, f.end_col))
+        inner = [g for g in functions if f.node < g.node <= f.last]
+        edges = sorted([((g.start_line, g.start_col), 1, g.node) for g in inner] + [((g.end_line, g.end_col), 0, g.node) for g in inner])
+        scope: tuple[int, ...] = ()
+        defined: dict[str, set[tuple[int, ...]]] = {}
+        numbers: dict[str, int] = {}
+        e = 0
+        for i in range(first, end):
+            t = tokens[i]
+            while e < len(edges) and edges[e][0] <= t.start:
+                scope = (*scope, edges[e][2]) if edges[e][1] else tuple(x for x in scope if x != edges[e][2])
+                e += 1
+            is_name = t.type == tk.NAME and not keyword.iskeyword(t.string)
+            symbol = f"id{numbers.setdefault(t.string, len(numbers))}" if is_name else "number" if t.type == tk.NUMBER else "string" if t.type == tk.STRING else t.string
+            f.sequence.append(zlib.crc32(symbol.encode()) & 0x7FFFFFFF)
+            if not is_name:
+                continue
+            after = tokens[i + 1].string if i + 1 < end else ""
+            seen = any(scope[: len(d)] == d for d in defined.get(t.string, ()))
+            if after in UPDATES:
+                f.dep_degree += seen
+                defined.setdefault(t.string, set()).add(scope)
+            elif after in ASSIGNS or t.start in bound:
+                defined.setdefault(t.string, set()).add(scope)
+            else:
+                f.dep_degree += seen
+
+
 STRING = re.compile(r"""(?s)^([A-Za-z]*)(\"\"\"|'''|"|')(.*)\2$""")
 ESCAPE = re.compile(r"""\\(?:\r\n|[\n\r\\'"abfnrtv0-7]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|N\{)""")
 

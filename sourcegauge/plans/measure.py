@@ -20,10 +20,10 @@ from sourcegauge.sources.scan import resolve_language
 
 #: Open nodes of a file beyond which it is refused.
 MAX_DEPTH = 5000
-FACT = "node:int,last:int,kind:string,nest:int,inner:int,bonus:int,sens:int,flat:int,ncss:int,is_fn:boolean,frame:int,name:string,start_line:int,start_col:int,end_line:int,end_col:int,parameters:int"
+FACT = "node:int,last:int,kind:string,nest:int,inner:int,bonus:int,sens:int,flat:int,ncss:int,is_fn:boolean,frame:int,name:string,start_line:int,start_col:int,end_line:int,end_col:int,parameters:int,dep_degree:int,sequence:array<int>"
 LEAF = "operand:boolean,text:string,line:int,col:int"
 PARSED = f"file string, language string, bytes bigint, lines array<string>, facts array<struct<{FACT}>>, leaves array<struct<{LEAF}>>, issue string"
-_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 
 
 def _struct(ddl: str) -> pa.DataType:
@@ -70,12 +70,12 @@ def nodes(parsed: DataFrame) -> DataFrame:
 def functions(parsed: DataFrame) -> DataFrame:
     """A row per function: cognitive, nesting and ncss by closed forms over its subtree, and Halstead measures of its leaves."""
     every = nodes(parsed)
-    f = every.where("is_fn").select("file", *[F.col(c).alias(f"f_{c}") for c in ("node", "last", "inner", "bonus", "ncss", "kind", "name", "start_line", "start_col", "end_line", "end_col", "parameters")])
+    f = every.where("is_fn").select("file", *[F.col(c).alias(f"f_{c}") for c in ("node", "last", "inner", "bonus", "ncss", "kind", "name", "start_line", "start_col", "end_line", "end_col", "parameters", "dep_degree")])
     met = f.join(every, "file").where((F.col("node") >= F.col("f_node")) & (F.col("node") <= F.col("f_last")))
     strict = F.col("node") > F.col("f_node")
     weight = F.col("flat") + F.col("sens") * (1 + F.col("nest") + F.col("bonus") - F.col("f_inner") - F.col("f_bonus"))
     own = strict & (F.col("frame") == F.col("f_node")) & ~F.col("is_fn")
-    at = ["file", "f_node", "f_kind", "f_name", "f_start_line", "f_start_col", "f_end_line", "f_end_col", "f_parameters"]
+    at = ["file", "f_node", "f_kind", "f_name", "f_start_line", "f_start_col", "f_end_line", "f_end_col", "f_parameters", "f_dep_degree"]
     body = met.groupBy(*at).agg(
         F.coalesce(F.sum(F.when(strict, weight)), F.lit(0)).alias("cognitive"),
         F.coalesce(F.greatest(F.lit(0), F.max(F.when(own, F.col("inner") - F.col("f_inner")))), F.lit(0)).alias("nesting"),
@@ -90,6 +90,11 @@ def functions(parsed: DataFrame) -> DataFrame:
     return counted.select("file", *renamed, "cognitive", "nesting", "ncss", "n1", "n2", "total1", "total2", *[e.alias(k) for k, e in h.items()])
 
 
+def sequences(parsed: DataFrame) -> DataFrame:
+    """file, node, sequence: the normalised token sequence of each function."""
+    return nodes(parsed).where("is_fn").select("file", "node", "sequence")
+
+
 def _counts(leaf: DataFrame, keys: list[str]) -> DataFrame:
     each = leaf.groupBy(*keys, "operand", "text").agg(F.count("*").alias("n"))
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
