@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcegauge.frontends import comments, python
+from sourcegauge.frontends import leaves as token_scan
 from sourcegauge.functions.measures import halstead
 from sourcegauge.sources.scan import resolve_language
 
@@ -39,6 +40,8 @@ def measure_text(code: str, language: str) -> dict:
             out["leaves"] = [dict(zip(("operand", "text", "line", "col"), x, strict=True)) for x in python.leaves(code)]
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
             out |= {"facts": [], "leaves": [], "issue": f"{type(e).__name__}: {e}"[:500]}
+    else:
+        out["leaves"] = [dict(zip(("operand", "text", "line", "col"), x, strict=True)) for x in token_scan.leaves(code, language)]
     return out
 
 

@@ -62,3 +62,17 @@ def test_functions_by_closed_forms(spark):
     assert (got["f"].cognitive, got["f"].ncss, got["f"].kind) == (1, 1, "lambda")
     assert {r.file for r in measure.issues(parsed).collect()} == {"b.py", "c.x"}
     assert {r.file: r.total for r in measure.file_metrics(parsed).collect()}["d.py"] == 0
+
+
+def test_token_scan_of_other_languages():
+    from sourcegauge.frontends.leaves import leaves
+
+    rows = [r for r in golden() if r[1] != "python"]
+    if not rows:
+        pytest.skip("no fixtures here")
+    same = 0
+    for r in rows:
+        got = leaves(source(r[0]), r[1])
+        ops, names = [t for k, t, *_ in got if not k], [t for k, t, *_ in got if k]
+        same += (len(set(ops)), len(set(names)), len(ops), len(names)) == tuple(map(int, r[12:16]))
+    assert same >= 34
