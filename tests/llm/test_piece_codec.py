@@ -49,7 +49,7 @@ def test_spans_cover_the_original_bytes():
             assert a <= b and a <= at <= b or a == at
             at = max(at, b)
             if m.kinds[i] == pc.NORMAL:
-                assert raw[a:b].decode() == m.pieces[i].replace(pc.SPACE, " ")[-len(raw[a:b].decode()) :] if a < b else True
+                assert m.pieces[i].replace(pc.SPACE, " ").endswith(raw[a:b].decode().replace(pc.SPACE, " "))
         assert at == len(raw)
 
 
@@ -64,7 +64,6 @@ def compiled(rules):
     for key, at in places.items():
         c = key.encode()[0]
         node = 256 ^ c
-        units[node] = c | (1 << 8) | ((node ^ 0) << 10 if False else 0)
         leaf = 1024 + c  # the value of a key stands where its node's offset leads
         units += [0] * (leaf + 1 - len(units))
         units[node] = c | (1 << 8) | ((leaf ^ node) << 10)
