@@ -58,7 +58,7 @@ NO_PARAGRAPH = BLOCKS - {"button", "option", "optgroup", "legend", "td", "th", "
 # Elements, and words in class, id and role, that stand for what is not the article.
 ASIDE_TAGS = frozenset("nav footer aside form button select menu dialog search fieldset head".split())
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement adbox sponsor sponsored promo promotion banner sidebar side aside menu navigation nav navbar topbar breadcrumb breadcrumbs header masthead footer foot comment comments reply replies discussion disqus respond cookie cookies consent notice notices alert warning newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal overlay widget toolbar pagination pager search form tags legal copyright disclaimer contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement adbox sponsor sponsored promo promotion banner sidebar side aside menu navigation nav navbar topbar breadcrumb breadcrumbs masthead footer foot comment comments reply replies discussion disqus respond cookie cookies consent notice notices alert warning newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal overlay widget toolbar pagination pager search form tags legal copyright disclaimer contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset("content article post entry story main text body articlebody postbody maincontent".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
