@@ -61,6 +61,7 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement adbox sponsor sponsored promo promotion banner sidebar side aside menu navigation nav navbar topbar breadcrumb breadcrumbs masthead footer foot comment comments reply replies discussion disqus respond cookie cookies consent notice notices alert warning newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal overlay widget toolbar pagination pager search form tags legal copyright disclaimer contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset("content article post entry story main text body articlebody postbody maincontent".split())
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody tr td th figure figcaption".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^>"'])*+[^>]*)>|<[!?][^>]*>""", re.S)
@@ -326,8 +327,8 @@ def rules_of(wrapper: list) -> dict[str, list[str]]:
         total = masses[0]
         if marked and max(marked)[0] >= 0.3 * total:
             main = [max(marked, key=lambda x: (x[0], len(x[1])))[1]]
-        elif total > 0:  # the deepest node with most of the text
-            main = [max(((len(path), path) for i, path, node, aside, _ in real if not aside and masses[i] >= 0.7 * total))[1]]
+        elif total > 0:  # the deepest node with most of the text that isn't itself a part of a text
+            main = [max(((len(path), path) for i, path, node, aside, _ in real if not aside and masses[i] >= 0.7 * total and node[0].split(".")[0] not in PARTS))[1]]
     drop = [path for _, path, node, aside, _ in real if aside]
     return {"main": sorted(set(main)), "drop": sorted(set(drop))}
 
