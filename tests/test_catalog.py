@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sourcegauge.plans import catalog
+from treeledger.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,10 +50,10 @@ def test_entry_without_the_pipeline_package(tmp_path):
     from pathlib import Path
 
     root = Path(__file__).parent.parent
-    (tmp_path / "sourcegauge").mkdir()
-    for p in (root / "sourcegauge").iterdir():
+    (tmp_path / "treeledger").mkdir()
+    for p in (root / "treeledger").iterdir():
         if p.name not in ("llm", "__pycache__"):
-            os.symlink(p, tmp_path / "sourcegauge" / p.name)
+            os.symlink(p, tmp_path / "treeledger" / p.name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 40 and set(e.oracle_sql()) <= set(q)"
     (tmp_path / "run.py").write_text(f"import sys; sys.path.insert(0, {str(tmp_path)!r}); {code}")
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())

@@ -1,4 +1,4 @@
-from sourcegauge.plans import gate, rank
+from treeledger.plans import gate, rank
 
 FILES = "file string, language string, code string"
 SIMPLE = "def f(a):\n    return a\n\ndef g(b):\n    return b + 1\n"
@@ -32,6 +32,14 @@ def test_new_function_beyond_the_limits(spark):
     assert values(gate.evaluate(base, head).collect()) == {("new-function", "cognitive complexity", "n", 21.0, 15.0), ("new-function", "max nesting depth", "n", 6.0, 4.0)}
 
 
+def test_copied_block_is_new_duplication(spark):
+    block = "".join(f"    total = total + {w} * {w}\n" for w in "abcdefgh")
+    base = spark.createDataFrame([("a.py", "python", f"def f(total):\n{block}    return total\n"), ("b.py", "python", "x = 1\n")], FILES)
+    head = spark.createDataFrame([("a.py", "python", f"def f(total):\n{block}    return total\n"), ("b.py", "python", f"def f(total):\n{block}    return total\n")], FILES)
+    got = values(gate.evaluate(base, head).collect())
+    assert got == {("duplication", "duplicated lines", None, 10.0, 0.0)}
+
+
 def test_exit_codes():
     assert [gate.exit_code(*x) for x in ((0, 0), (2, 0), (2, 1), (0, 1))] == [0, 1, 2, 2]
 

@@ -4,9 +4,9 @@ import random
 
 import pytest
 
-from sourcegauge.functions import hashing, text
-from sourcegauge.operators import gate, select, similarity
-from sourcegauge.sources import git, scan
+from treeledger.functions import hashing, text
+from treeledger.operators import gate, select, similarity
+from treeledger.sources import git, scan
 
 
 def lcs_model(a, b):

@@ -1,6 +1,6 @@
 import datetime
 
-from sourcegauge.streaming import landing
+from treeledger.streaming import landing
 
 
 def test_measures_of_landed_files(spark, tmp_path):

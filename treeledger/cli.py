@@ -8,8 +8,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from sourcegauge.plans.rank import rank_files
-from sourcegauge.sources import scan
+from treeledger.plans.rank import rank_files
+from treeledger.sources import scan
 
 
 def positive(text: str) -> int:
@@ -20,13 +20,13 @@ def positive(text: str) -> int:
 
 
 def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="sourcegauge", description=__doc__)
+    parser = argparse.ArgumentParser(prog="treeledger", description=__doc__)
     parser.add_argument("target", nargs="?", default=".")
     parser.add_argument("--top", type=positive, default=10)
     parser.add_argument("--include-tests", action="store_true")
     parser.add_argument("--json", action="store_true")
     options = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("sourcegauge").getOrCreate()
+    spark = SparkSession.builder.appName("treeledger").getOrCreate()
     rows = rank_files(scan.scan_directory(spark, options.target, options.include_tests), options.top).toJSON().collect()
     if options.json:
         print(json.dumps([json.loads(r) for r in rows], indent=2))

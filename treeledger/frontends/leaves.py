@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from sourcegauge.frontends import comments
+from treeledger.frontends import comments
 
 # Signs and words that count as operators, longest signs first.
 SIGNS = ">>>= === !== >>> **= <<= >>= &&= ||= ??= ..= ->* <=> ... &^= == != <= >= && || ?? ?. ++ -- << >> ** += -= *= /= %= &= |= ^= := => -> :: <- .. &. =~ !~ &^ .* + - * / % = < > ! ~ & | ^ ? .".split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcegauge.functions.text import tokens
+from treeledger.functions.text import tokens
 
 # Least tokens of a region, tokens between regions that are merged, and lengths of windows.
 MIN_TOKENS, MAX_GAP_TOKENS, MIN_SIMILARITY = 40, 30, 70

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from sourcegauge.plans.session import checkpoint_dir
+from treeledger.plans.session import checkpoint_dir
 
 NGRAM = 5
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcegauge.functions.measures import clamp_u32
-from sourcegauge.operators import gate, intervals, similarity
-from sourcegauge.operators.select import merge_gaps
-from sourcegauge.sources import git, scan
-from sourcegauge.sources.tables import table
+from treeledger.functions.measures import clamp_u32
+from treeledger.operators import gate, intervals, similarity
+from treeledger.operators.select import merge_gaps
+from treeledger.sources import git, scan
+from treeledger.sources.tables import table
 
 Q = {}
 SQL = {}

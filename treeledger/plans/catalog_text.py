@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcegauge.functions import hashing
-from sourcegauge.functions.measures import halstead, ratio, with_percentile
-from sourcegauge.functions.text import SPACE_CLASS, TOKEN, is_blank, is_word, lines_of, split_lines, statements_of, tokens
-from sourcegauge.operators import clones, select, similarity
-from sourcegauge.sources.tables import files_from, table
+from treeledger.functions import hashing
+from treeledger.functions.measures import halstead, ratio, with_percentile
+from treeledger.functions.text import SPACE_CLASS, TOKEN, is_blank, is_word, lines_of, split_lines, statements_of, tokens
+from treeledger.operators import clones, select, similarity
+from treeledger.sources.tables import files_from, table
 
 Q = {}
 SQL = {}

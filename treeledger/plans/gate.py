@@ -6,9 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcegauge.operators import gate as rules
-from sourcegauge.operators import similarity
-from sourcegauge.plans import measure
+from treeledger.functions.text import lines_of, statements_of
+from treeledger.operators import clones
+from treeledger.operators import gate as rules
+from treeledger.operators import similarity
+from treeledger.plans import measure
 
 
 def measured(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,8 +81,25 @@ def evaluate(base_files: DataFrame, head_files: DataFrame, options: rules.GateOp
     files = of(base_metrics, "base").join(of(head_metrics, "head"), "file").join(split, "file")
     reported = worse.unionByName(new).where("metric = 'cognitive complexity'").select("file", "head_value")
     back = rules.file_backstops(files, reported, options.tolerance).select("*", F.lit("file-regression").alias("gate"), F.lit(None).cast("string").alias("function"), F.lit(1).alias("start_line"))
+    more = duplication_violations(base_files, head_files, options)
     columns = ["gate", "metric", "file", "function", "start_line", "base_value", "head_value", "allowed"]
-    return worse.select(columns).unionByName(new.select(columns)).unionByName(back.select(columns)).orderBy("file", "start_line", "metric")
+    return worse.select(columns).unionByName(new.select(columns)).unionByName(back.select(columns)).unionByName(more.select(columns)).orderBy("file", "start_line", "metric")
+
+
+def duplicated_lines(files: DataFrame) -> DataFrame:
+    """file, lines: distinct lines of each file in blocks that another file has too."""
+    stated = statements_of(lines_of(files.withColumn("file", F.col("file").cast("string"))))
+    regions = clones.cross_file(clones.blocks(stated))
+    return clones.covered_lines(regions).groupBy("file").agg(F.count("*").alias("lines"))
+
+
+def duplication_violations(base_files: DataFrame, head_files: DataFrame, options: rules.GateOptions) -> DataFrame:
+    """Files with more duplicated lines than in the base. Both revisions are whole projects, so copies of old code count."""
+    base, head = duplicated_lines(base_files).toDF("file", "base"), duplicated_lines(head_files).toDF("file", "head")
+    rows = head.join(base, "file", "left").select("file", F.coalesce("base", F.lit(0)).cast("double").alias("base_value"), F.col("head").cast("double").alias("head_value"))
+    over = rows.withColumn("allowed", F.col("base_value") + float(options.tolerance.duplicate_lines)).where("head_value > allowed")
+    said = {"gate": F.lit("duplication"), "metric": F.lit("duplicated lines"), "function": F.lit(None).cast("string"), "start_line": F.lit(1)}
+    return over.withColumns(said)
 
 
 def exit_code(violations: int, errors: int) -> int:

@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcegauge.frontends import comments, python
-from sourcegauge.frontends import leaves as token_scan
-from sourcegauge.functions.measures import halstead
-from sourcegauge.sources.scan import resolve_language
+from treeledger.frontends import comments, python
+from treeledger.frontends import leaves as token_scan
+from treeledger.functions.measures import halstead
+from treeledger.sources.scan import resolve_language
 
 #: Open nodes of a file beyond which it is refused.
 MAX_DEPTH = 5000

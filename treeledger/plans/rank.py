@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcegauge.functions.measures import ratio, with_percentile
-from sourcegauge.functions.text import lines_of, statements_of
-from sourcegauge.operators import clones
-from sourcegauge.plans import measure
+from treeledger.functions.measures import ratio, with_percentile
+from treeledger.functions.text import lines_of, statements_of
+from treeledger.operators import clones
+from treeledger.plans import measure
 
 
 def rank_files(files: DataFrame, top: int = 10, min_tokens: int = clones.MIN_TOKENS) -> DataFrame:

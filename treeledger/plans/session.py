@@ -14,4 +14,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="sourcegauge-")
+    return tempfile.mkdtemp(prefix="treeledger-")

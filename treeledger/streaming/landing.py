@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sourcegauge.plans import measure
+from treeledger.plans import measure
 
 LANDED = "file string, language string, code string, landed timestamp"
 
