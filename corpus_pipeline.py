@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcegauge.llm import mixing, near_dedup, pii, piece_codec, quality
-from sourcegauge.llm.common import Scratch, table
-from sourcegauge.llm.queries import piece_model_path
+from treeledger.llm import mixing, near_dedup, pii, piece_codec, quality
+from treeledger.llm.common import Scratch, table
+from treeledger.llm.queries import piece_model_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

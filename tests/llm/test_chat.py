@@ -1,6 +1,6 @@
 import hashlib
 
-from sourcegauge.llm import chat
+from treeledger.llm import chat
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 

@@ -1,6 +1,6 @@
 import pytest
 
-from sourcegauge.llm import html_extract as he
+from treeledger.llm import html_extract as he
 
 PAGE = """<!DOCTYPE html><html><head><title>t &amp; u</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href=/a>{0}</a></li><li><a href=/b>b</a></li></ul></nav><!-- ad --><div class="ad">Buy {0}</div>

@@ -1,6 +1,6 @@
 import numpy as np
 
-from sourcegauge.llm import media
+from treeledger.llm import media
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 

@@ -1,6 +1,6 @@
 import collections
 
-from sourcegauge.llm import mixing
+from treeledger.llm import mixing
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 

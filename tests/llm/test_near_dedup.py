@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from sourcegauge.llm import near_dedup as nd
+from treeledger.llm import near_dedup as nd
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 

@@ -7,7 +7,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
 
-from sourcegauge.llm import piece_codec as pc  # noqa: E402
+from treeledger.llm import piece_codec as pc  # noqa: E402
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from sourcegauge.llm import pii
+from treeledger.llm import pii
 
 PATTERNS = [
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),

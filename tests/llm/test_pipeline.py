@@ -1,9 +1,9 @@
 import collections
 
 import corpus_pipeline
-from sourcegauge.llm import mixing, near_dedup, pii, piece_codec, quality
-from sourcegauge.llm.common import table
-from sourcegauge.llm.queries import QUERIES, SQL, piece_model_path
+from treeledger.llm import mixing, near_dedup, pii, piece_codec, quality
+from treeledger.llm.common import table
+from treeledger.llm.queries import QUERIES, SQL, piece_model_path
 
 SF = "/root/testdata/sf0.001"
 

@@ -2,8 +2,8 @@ import zlib
 
 import numpy as np
 
-from sourcegauge.llm import quality
-from sourcegauge.llm.common import table
+from treeledger.llm import quality
+from treeledger.llm.common import table
 
 SF = "/root/testdata/sf0.01"
 

@@ -1,4 +1,4 @@
-from sourcegauge.llm import url_filter as uf
+from treeledger.llm import url_filter as uf
 
 URLS = [
     "http://a.example.org/es/1", "https://example.org/en/12?x", "https://notexample.org/es/1", "http://EXAMPLE.com/de/x", "http://x.com/fr/1#a", "http://com/fr/", "http://x.org", None, "", "no scheme",

@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="sourcegauge-")
+        found = tempfile.mkdtemp(prefix="treeledger-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcegauge.llm.common import Scratch
-from sourcegauge.llm.url_filter import url_parts
+from treeledger.llm.common import Scratch
+from treeledger.llm.url_filter import url_parts
 
 #: Bytes of all rules together that may be broadcast.
 BROADCAST_BYTES = 8_000_000

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcegauge.llm.common import Scratch
+from treeledger.llm.common import Scratch
 
 SIDE, CELLS = 96, 16
 CORNERS, LEVELS, RADIUS, TESTS, TURNS = 24, (1.0, 0.7), 10, 128, 32

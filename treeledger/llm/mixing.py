@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcegauge.llm.common import Scratch
+from treeledger.llm.common import Scratch
 
 MOST_EPOCHS, BLOCK_WORDS, STEPS = 2.0, 1_000_000, 50
 #: Documents in a hash bucket, about, and sources of which the plan is broadcast.

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcegauge.llm.common import Scratch
+from treeledger.llm.common import Scratch
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcegauge.llm.common import least_hashes
+from treeledger.llm.common import least_hashes
 
 DIMENSIONS, NONZERO, WINDOW, HIDDEN, INDEX_BITS = 48, 6, 2, 24, 14
 FIT_ROWS, FIT_CHARS, VOCABULARY = 3000, 100_000, 20_000

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegauge.llm import ann, chat, html_extract, media, mixing, near_dedup, pii, piece_codec, quality, url_filter
-from sourcegauge.llm.common import table
+from treeledger.llm import ann, chat, html_extract, media, mixing, near_dedup, pii, piece_codec, quality, url_filter
+from treeledger.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
