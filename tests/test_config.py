@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from sourcegauge.sources import config
+from treeledger.sources import config
 
 
 @pytest.mark.parametrize(

@@ -7,9 +7,9 @@ import os
 from collections.abc import Mapping
 from dataclasses import replace
 
-from sourcegauge.operators.gate import GateOptions, NewLimits, Tolerance
+from treeledger.operators.gate import GateOptions, NewLimits, Tolerance
 
-NAME = "sourcegauge.json"
+NAME = "treeledger.json"
 DEFAULTS = {"top": 10, "includeTests": False, "failOnError": False, "minTokens": 40, "maxGapTokens": 30, "minSimilarityPercent": 70}
 #: Allowed keys: bool, a least integer, or a section.
 SCHEMA = {
