@@ -93,7 +93,7 @@ def plan_sources(rows: DataFrame, most_epochs: float = MOST_EPOCHS, target_entro
         "full",
         (F.col("budget") - F.col("full") * F.col("sum")).alias("rest"),
         F.pow(F.lit(2.0), F.least(F.lit(24.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("docs") / BUCKET))))).cast("bigint").alias("buckets"),
-        (F.col("budget") / F.sum("budget").over(whole)).alias("weight"),
+        F.when(F.sum("budget").over(whole) > 0, F.try_divide("budget", F.sum("budget").over(whole))).otherwise(F.lit(0.0)).alias("weight"),
         F.greatest(F.lit(1), F.ceil(F.sum("budget").over(whole) / block_words)).cast("bigint").alias("blocks"),
     )
 
