@@ -2,8 +2,8 @@
 
 An image (binary PGM) is read into grey levels and scaled to a small pyramid. In each level the strongest
 corners are kept, each turned by its intensity centroid, and described by 128 binary tests of
-smoothed grey levels. A descriptor is cut into four parts of 32 bits; descriptors that agree in a part
-meet in a hash join on (part, bits), a Hamming table, and stay if they differ in at most ``BITS_APART``
+smoothed grey levels. A descriptor is cut into two halves of 64 bits; descriptors that agree in a half
+meet in a hash join on (half, bits), a Hamming table, and stay if they differ in at most ``BITS_APART``
 bits. The matches of a pair of images are then put to a vote: each match proposes a scale, a
 turn and a shift, and a pair is reported if at least ``INLIERS`` of its corners agree on one.
 
@@ -22,7 +22,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,12 +143,16 @@ def describe(images: DataFrame) -> DataFrame:
     return images.select(F.col("id").cast("bigint").alias("id"), "image").where("id is not null and image is not null").mapInArrow(run, FOUND).where(F.size("x") > 0)
 
 
+def with_row(found: DataFrame) -> DataFrame:
+    """Descriptors with a number of their own for each image, also where ids repeat."""
+    return found.withColumn("row", F.xxhash64("id", "x", "y", "high", "low"))
+
+
 def tables(found: DataFrame) -> DataFrame:
-    """A row for each descriptor and each of its four parts."""
-    each = found.select("id", F.posexplode(F.arrays_zip("x", "y", "level", "turn", "high", "low")).alias("corner", "d")).select("id", "corner", "d.*")
-    low32 = F.lit(0xFFFFFFFF).cast("bigint")
-    parts = F.array(F.shiftrightunsigned("high", 32), F.col("high").bitwiseAND(low32), F.shiftrightunsigned("low", 32), F.col("low").bitwiseAND(low32))
-    return each.select("*", F.posexplode(parts).alias("part", "bits"))
+    """key, row, corner: the two halves of each descriptor, and nothing else, so that little is shuffled."""
+    each = found.select("row", F.posexplode(F.arrays_zip("high", "low")).alias("corner", "d")).select("row", "corner", "d.*")
+    keys = F.array(F.xxhash64(F.lit(0), "high"), F.xxhash64(F.lit(1), "low"))
+    return each.select(F.explode(keys).alias("key"), "row", "corner")
 
 
 def consensus(matches: np.ndarray) -> tuple[int, float, float, float]:
@@ -172,20 +175,34 @@ def consensus(matches: np.ndarray) -> tuple[int, float, float, float]:
 def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     """query_id, image_id, matches, inliers, scale, dx, dy of pairs of which one image holds a copy of the other."""
     scratch = Scratch(images.sparkSession, "media")
-    probe, index = tables(scratch.keep(describe(queries))), tables(scratch.keep(describe(images)))
-    left = probe.select("part", "bits", *[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "turn", "high", "low")])
-    apart = F.bit_count(F.col("high").bitwiseXOR(F.col("q_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("q_low")))
-    met = left.join(index, ["part", "bits"]).where(apart <= BITS_APART)
-    match = F.array(*[F.col(c).cast("float") for c in ("q_corner", "corner", "q_x", "q_y", "q_level", "q_turn", "x", "y", "level", "turn")])
-    pairs = met.groupBy(F.col("q_id").alias("query_id"), F.col("id").alias("image_id")).agg(F.collect_set(match).alias("matches")).where(F.size("matches") >= INLIERS)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            got = [consensus(np.array(sorted(map(tuple, m)), dtype=float)) for m in frame["matches"]]
-            yield pd.DataFrame({"query_id": frame["query_id"], "image_id": frame["image_id"], "matches": [len(m) for m in frame["matches"]], "inliers": [g[0] for g in got], "scale": [g[1] for g in got], "dx": [g[2] for g in got], "dy": [g[3] for g in got]})
+    asked, held = with_row(scratch.keep(describe(queries))), with_row(scratch.keep(describe(images)))
+    probe = tables(asked).select("key", F.col("row").alias("q_row"), F.col("corner").alias("q_corner"))
+    met = probe.join(tables(held), "key").groupBy("q_row", "row").agg(F.collect_set(F.struct("q_corner", "corner")).alias("at"))
+    pairs = met.where(F.size("at") >= INLIERS)
+    part = lambda found, name: found.select(F.col("row").alias(f"{name}row"), F.struct("id", "x", "y", "level", "turn", "high", "low").alias(f"{name}d"))
+    full = pairs.withColumnRenamed("row", "i_row").join(part(asked, "q_"), "q_row").join(part(held, "i_"), "i_row").select("at", "q_d", "i_d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, q, i in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                near = sorted((p["q_corner"], p["corner"]) for p in at if differing(q, p["q_corner"], i, p["corner"]) <= BITS_APART)
+                rows = [(a, b, q["x"][a], q["y"][a], q["level"][a], q["turn"][a], i["x"][b], i["y"][b], i["level"][b], i["turn"][b]) for a, b in near]
+                if len(rows) >= INLIERS:
+                    out.append((q["id"], i["id"], len(rows), *consensus(np.array(rows, dtype=float))))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["query_id", "image_id", "matches", "inliers", "scale", "dx", "dy"])
 
     schema = "query_id bigint, image_id bigint, matches int, inliers int, scale double, dx double, dy double"
-    return pairs.mapInPandas(run, schema).where(F.col("inliers") >= INLIERS)
+    found = full.mapInArrow(run, schema).where(F.col("inliers") >= INLIERS)
+    best = found.groupBy("query_id", "image_id").agg(F.max_by(F.struct("matches", "inliers", "scale", "dx", "dy"), F.struct("inliers", "matches", "dx", "dy")).alias("b"))
+    return best.select("query_id", "image_id", "b.*")
+
+
+def differing(q: dict, a: int, i: dict, b: int) -> int:
+    """Bits in which two descriptors differ."""
+    mask = (1 << 64) - 1
+    return ((q["high"][a] ^ i["high"][b]) & mask).bit_count() + ((q["low"][a] ^ i["low"][b]) & mask).bit_count()
 
 
 def render(vectors: DataFrame, copies: bool = False, every: int = 100) -> DataFrame:
