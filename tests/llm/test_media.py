@@ -30,3 +30,19 @@ def test_odd_images(spark):
     assert media.find_copies(images, images).collect() == []
     vectors = spark.createDataFrame([(100, None, 0), (200, [], 0), (300, [float("nan")] * 64, 0)], VECTORS)
     assert media.render(vectors).collect() == []
+
+
+def test_copies_edited_more_are_found(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 20, raising=False)
+    x = np.random.RandomState(4).normal(0, 1, (150, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    drawn = [media.draw(v) for v in x]
+
+    def roughened(i):
+        part = media.edit(drawn[i], i)
+        return np.clip(0.8 * part + np.random.RandomState(i).normal(0, 15, part.shape), 0, 255)
+
+    images = spark.createDataFrame([(i, media.to_pgm(g)) for i, g in enumerate(drawn)], "id bigint, image binary")
+    queries = spark.createDataFrame([(i, media.to_pgm(roughened(i))) for i in range(0, 150, 5)], "id bigint, image binary")
+    found = media.find_copies(queries, images).collect()
+    assert sorted((r.query_id, r.image_id) for r in found) == [(i, i) for i in range(0, 150, 5)]

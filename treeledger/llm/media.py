@@ -2,11 +2,15 @@
 
 An image (binary PGM) is read into grey levels and scaled to a small pyramid. In each level the strongest
 corners are kept, each turned by its intensity centroid, and described by 128 binary tests of
-smoothed grey levels. A descriptor is cut into two halves of 64 bits; descriptors that agree in a half
-meet in a hash join on (half, bits), a Hamming table, and stay if they differ in at most ``BITS_APART``
-bits. The matches of a pair of images are then put to a vote: each match proposes a scale, a
+smoothed grey levels. A descriptor is cut into four parts of 32 bits; descriptors that agree in a part
+meet in that part's Hamming table, and stay if they differ in at most ``BITS_APART`` bits. (All that differ in
+3 bits or fewer meet, and the more seldom the more they differ; the README has what this costs against brute force.)
+The matches of a pair of images are then put to a vote: each match proposes a scale, a
 turn and a shift, and a pair is reported if at least ``INLIERS`` of its corners agree on one.
 
+The tables are made of blocks of ``BLOCK`` queries; each task looks the descriptors of its images up in them, and
+only pairs that are reported leave it, so matches are neither shuffled nor written.
+
 The tables of this project have no images, so ``render`` draws one from each row of embeddings, and
 ``edited`` crops, brightens and roughens it: the query looks the edited copies of the images whose
 id is divisible by 100 up among the images of all rows.
@@ -20,6 +24,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,8 @@ SIDE, CELLS = 96, 16
 CORNERS, LEVELS, RADIUS, TESTS, TURNS = 24, (1.0, 0.7), 10, 128, 32
 MARGIN = RADIUS + 4
 BITS_APART, INLIERS, NEAR = 20, 4, 3.0
+#: Queries of a block, images looked up in it at once, and pairs of matches that are compared at once.
+BLOCK, IMAGES, COMPARED = 1024, 128, 1_000_000
 _rng = np.random.RandomState(77)
 PROJECTION = _rng.normal(0, 1, (64, CELLS * CELLS))
 PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
@@ -43,6 +52,7 @@ DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADI
 HEADER = re.compile(rb"P5\s+(?:#[^\n]*\s+)*(\d{1,5})\s+(\d{1,5})\s+(\d{1,3})\s", re.S)
 
 FOUND = "id bigint, x array<float>, y array<float>, level array<int>, turn array<int>, high array<bigint>, low array<bigint>"
+KEPT = pa.schema([("id", pa.int64()), *((k, pa.list_(t)) for k, t in (("x", pa.float32()), ("y", pa.float32()), ("level", pa.int32()), ("turn", pa.int32()), ("high", pa.int64()), ("low", pa.int64())))])
 
 
 def to_pgm(grey: np.ndarray) -> bytes:
@@ -143,66 +153,132 @@ def describe(images: DataFrame) -> DataFrame:
     return images.select(F.col("id").cast("bigint").alias("id"), "image").where("id is not null and image is not null").mapInArrow(run, FOUND).where(F.size("x") > 0)
 
 
-def with_row(found: DataFrame) -> DataFrame:
-    """Descriptors with a number of their own for each image, also where ids repeat."""
-    return found.withColumn("row", F.xxhash64("id", "x", "y", "high", "low"))
+@dataclass
+class Flat:
+    """The descriptors of some images, one after another. ``image`` is the place of each one's image among them."""
 
+    ids: np.ndarray
+    image: np.ndarray
+    at: np.ndarray  # a row for each descriptor: corner, x, y, level, turn
+    high: np.ndarray
+    low: np.ndarray
 
-def tables(found: DataFrame) -> DataFrame:
-    """key, row, corner: the two halves of each descriptor, and nothing else, so that little is shuffled."""
-    each = found.select("row", F.posexplode(F.arrays_zip("high", "low")).alias("corner", "d")).select("row", "corner", "d.*")
-    keys = F.array(F.xxhash64(F.lit(0), "high"), F.xxhash64(F.lit(1), "low"))
-    return each.select(F.explode(keys).alias("key"), "row", "corner")
+    def parts(self) -> list[np.ndarray]:
+        return [w for bits in (self.high, self.low) for w in (bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF))]
 
 
-def consensus(matches: np.ndarray) -> tuple[int, float, float, float]:
-    """Corners that agree on one similarity transform, its scale and shift. Rows: query corner, image corner, qx, qy, q level, q turn, x, y, level, turn."""
-    qc, ic, qx, qy, ql, qt, x, y, level, turn = matches.T
+def flat(found: pa.RecordBatch | pa.Table) -> Flat:
+    size = found.column("x").combine_chunks() if isinstance(found, pa.Table) else found.column("x")
+    n = size.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    image = np.repeat(np.arange(len(n)), n)
+    corner = np.arange(len(image)) - np.repeat(np.cumsum(n) - n, n)
+    x, y, level, turn, high, low = (np.asarray((c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).flatten()) for c in map(found.column, ("x", "y", "level", "turn", "high", "low")))
+    return Flat(np.asarray(found.column("id")), image, np.stack([corner, x, y, level, turn], axis=1).astype(float), high.view(np.uint64), low.view(np.uint64))
+
+
+def tables(asked: Flat) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each part its bits in order, and the descriptors that have them."""
+    orders = [(bits, np.argsort(bits, kind="stable")) for bits in asked.parts()]
+    return [(bits[order], order) for bits, order in orders]
+
+
+def meet(asked: Flat, hamming: list[tuple[np.ndarray, np.ndarray]], held: Flat) -> tuple[np.ndarray, np.ndarray]:
+    """The matches, as places in ``asked`` and in ``held``, by images, then corners; each once."""
+    codes = []
+    for (bits, order), wanted in zip(hamming, held.parts(), strict=True):
+        first = np.searchsorted(bits, wanted, "left")
+        n = np.searchsorted(bits, wanted, "right") - first
+        h = np.repeat(np.arange(len(wanted)), n)
+        q = order[np.arange(len(h)) + np.repeat(first - (np.cumsum(n) - n), n)]
+        near = np.bitwise_count(asked.high[q] ^ held.high[h]) + np.bitwise_count(asked.low[q] ^ held.low[h]) <= BITS_APART
+        codes.append(q[near] * len(held.high) + h[near])
+    q, h = np.divmod(np.unique(np.concatenate(codes)), max(len(held.high), 1))
+    order = np.lexsort((held.image[h], asked.image[q]))
+    return q[order], h[order]
+
+
+def proposals(q: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each match (rows of ``Flat.at``) the turn and scale as a cosine and a sine, the scale and the shift."""
+    (_, qx, qy, ql, qt), (_, x, y, level, turn) = q.T, i.T
     sizes = np.array(LEVELS)
-    best = (0, 1.0, 0.0, 0.0)
     scale = sizes[level.astype(int)] / sizes[ql.astype(int)]
     angle = (qt - turn) * 2 * np.pi / TURNS
     cos, sin = np.cos(angle) * scale, np.sin(angle) * scale
-    for i in range(len(matches)):
-        dx, dy = qx[i] - (cos[i] * x[i] - sin[i] * y[i]), qy[i] - (sin[i] * x[i] + cos[i] * y[i])
-        fits = np.hypot(cos[i] * x - sin[i] * y + dx - qx, sin[i] * x + cos[i] * y + dy - qy) <= NEAR
-        n = min(len(set(qc[fits].tolist())), len(set(ic[fits].tolist())))
-        if n > best[0]:
-            best = (n, float(scale[i]), float(dx), float(dy))
-    return best
+    return cos, sin, scale, qx - (cos * x - sin * y), qy - (sin * x + cos * y)
+
+
+def consensus(matches: np.ndarray) -> tuple[int, float, float, float]:
+    """Corners that agree on one similarity transform, its scale and shift. Rows: query corner, image corner, qx, qy, q level, q turn, x, y, level, turn."""
+    q, i = matches[:, [0, 2, 3, 4, 5]], matches[:, [1, 6, 7, 8, 9]]
+    cos, sin, scale, dx, dy = proposals(q, i)
+    c, s, tx, ty = (v[:, None] for v in (cos, sin, dx, dy))
+    x, y = i[:, 1], i[:, 2]
+    fits = np.hypot(c * x - s * y + tx - q[:, 1], s * x + c * y + ty - q[:, 2]) <= NEAR
+    n = np.minimum(*((fits.astype(np.float32) @ (side[:, 0, None] == np.unique(side[:, 0])) > 0).sum(1) for side in (q, i)))
+    best = int(np.argmax(n))
+    return int(n[best]), float(scale[best]), float(dx[best]), float(dy[best])
+
+
+def hopeful(q: np.ndarray, i: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which groups of matches have one that ``INLIERS`` or more agree with; no other can have as many corners that do."""
+    out = np.zeros(len(sizes), dtype=bool)
+    cos, sin, _, dx, dy = proposals(q, i)
+    step = np.cumsum(sizes * sizes) // COMPARED
+    for g in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(step)) + 1) if len(sizes) else ():
+        of = np.repeat(g, sizes[g])
+        a = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(sizes[g]) - sizes[g], sizes[g])
+        n = sizes[of]
+        ends = np.cumsum(n)
+        p = np.repeat(a, n)
+        b = np.repeat(starts[of] - (ends - n), n) + np.arange(ends[-1])
+        x, y = i[b, 1], i[b, 2]
+        fits = np.hypot(cos[p] * x - sin[p] * y + dx[p] - q[b, 1], sin[p] * x + cos[p] * y + dy[p] - q[b, 2]) <= NEAR
+        out[of[np.add.reduceat(fits.astype(np.int64), ends - n) >= INLIERS]] = True
+    return out
+
+
+def copies(asked: Flat, hamming: list[tuple[np.ndarray, np.ndarray]], held: Flat) -> list[tuple]:
+    """query_id, image_id, matches, inliers, scale, dx, dy of the pairs of two lots of images."""
+    qs, hs = meet(asked, hamming, held)
+    pair = asked.image[qs] * len(held.ids) + held.image[hs]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    sizes = np.diff(starts, append=len(pair))
+    starts, sizes = starts[sizes >= INLIERS], sizes[sizes >= INLIERS]
+    q, i = asked.at[qs], held.at[hs]
+    out = []
+    for k in np.flatnonzero(hopeful(q, i, starts, sizes)):
+        s = slice(starts[k], starts[k] + sizes[k])
+        inliers, *where = consensus(np.concatenate([q[s, :1], i[s, :1], q[s, 1:], i[s, 1:]], axis=1))
+        if inliers >= INLIERS:
+            out.append((int(asked.ids[asked.image[qs[s.start]]]), int(held.ids[held.image[hs[s.start]]]), int(sizes[k]), inliers, *where))
+    return out
 
 
 def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     """query_id, image_id, matches, inliers, scale, dx, dy of pairs of which one image holds a copy of the other."""
-    scratch = Scratch(images.sparkSession, "media")
-    asked, held = with_row(scratch.keep(describe(queries))), with_row(scratch.keep(describe(images)))
-    probe = tables(asked).select("key", F.col("row").alias("q_row"), F.col("corner").alias("q_corner"))
-    met = probe.join(tables(held), "key").groupBy("q_row", "row").agg(F.collect_set(F.struct("q_corner", "corner")).alias("at"))
-    pairs = met.where(F.size("at") >= INLIERS)
-    part = lambda found, name: found.select(F.col("row").alias(f"{name}row"), F.struct("id", "x", "y", "level", "turn", "high", "low").alias(f"{name}d"))
-    full = pairs.withColumnRenamed("row", "i_row").join(part(asked, "q_"), "q_row").join(part(held, "i_"), "i_row").select("at", "q_d", "i_d")
+    spark = images.sparkSession
+    scratch = Scratch(spark, "media")
+    asked, held = scratch.keep(describe(queries)), scratch.keep(describe(images))
+    schema = "query_id bigint, image_id bigint, matches int, inliers int, scale double, dx double, dy double"
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for at, q, i in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                near = sorted((p["q_corner"], p["corner"]) for p in at if differing(q, p["q_corner"], i, p["corner"]) <= BITS_APART)
-                rows = [(a, b, q["x"][a], q["y"][a], q["level"][a], q["turn"][a], i["x"][b], i["y"][b], i["level"][b], i["turn"][b]) for a, b in near]
-                if len(rows) >= INLIERS:
-                    out.append((q["id"], i["id"], len(rows), *consensus(np.array(rows, dtype=float))))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["query_id", "image_id", "matches", "inliers", "scale", "dx", "dy"])
+    def looked_up(rows: tuple) -> DataFrame:
+        block = flat(pa.Table.from_pylist([r.asDict() for r in rows], KEPT))
+        shared = spark.sparkContext.broadcast((block, tables(block)))
 
-    schema = "query_id bigint, image_id bigint, matches int, inliers int, scale double, dx double, dy double"
-    found = full.mapInArrow(run, schema).where(F.col("inliers") >= INLIERS)
-    best = found.groupBy("query_id", "image_id").agg(F.max_by(F.struct("matches", "inliers", "scale", "dx", "dy"), F.struct("inliers", "matches", "dx", "dy")).alias("b"))
-    return best.select("query_id", "image_id", "b.*")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, IMAGES):
+                    out = copies(*shared.value, flat(batch.slice(at, IMAGES)))
+                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], schema.replace(",", "").split()[::2])
 
+        return held.mapInArrow(run, schema)
 
-def differing(q: dict, a: int, i: dict, b: int) -> int:
-    """Bits in which two descriptors differ."""
-    mask = (1 << 64) - 1
-    return ((q["high"][a] ^ i["high"][b]) & mask).bit_count() + ((q["low"][a] ^ i["low"][b]) & mask).bit_count()
+    # The driver holds one block of queries at a time.
+    parts = [looked_up(rows) for rows in batched(asked.toLocalIterator(), BLOCK)]
+    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+    best = found.groupBy("query_id", "image_id").agg(F.max_by(F.struct("matches", "inliers", "scale", "dx", "dy"), F.struct("inliers", "matches", "dx", "dy")).alias("b"))
+    return best.select("query_id", "image_id", "b.*")
 
 
 def render(vectors: DataFrame, copies: bool = False, every: int = 100) -> DataFrame:
