@@ -47,3 +47,23 @@ def test_single_pages(html, text):
 @pytest.mark.parametrize("html", ["<", "<p", '<a "<b"', "x<!-- y", "<script>", "<div>" * 30000, '<a "' * 30000, "</p>" * 10000, "<p>" * 20000])
 def test_odd_pages_end_soon(html):
     assert isinstance(both(html), str)
+
+
+@pytest.mark.parametrize("many", [1, 20])
+def test_hosts_that_mix_templates_keep_every_article(spark, many):
+    text = "a paragraph of the page number {0} that is long enough to count"
+    beside = '<nav><a href=/>home</a></nav>{0}<div class="sidebar"><p>beside</p></div><footer>end</footer>'
+    layouts = ["<article><p>{0}</p></article>", "<main><p>{0}</p></main>", '<div class="post-a"><p>{0}</p></div>', '<div id="other"><div class="x"><p>{0}</p></div></div>']
+    told = [0] * 5 + [1, 2, 3] * many
+    pages = [(i, "http://mixed.org/a", beside.format(layouts[k].format(text.format(i)))) for i, k in enumerate(told)]
+    pages.append((1000, "http://mixed.org/a", beside.format("")))
+    got = {r.page_id: r.text for r in he.extract_table(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {1000: ""} | {i: text.format(i) for i in range(len(told))}
+
+
+def test_pages_of_a_host_without_articles_may_differ():
+    pages = [f'<div class="{name}"><p>the text of {name} that is long enough</p></div>' for name in ("content-a", "content-a", "entry-b", "plain")]
+    host = he.wrapper_of(he.parse(pages[0]))
+    for page in pages[1:]:
+        host = he.merge(host, he.wrapper_of(he.parse(page)))
+    assert [he.extract(p, he.rules_of(host)) for p in pages] == [f"the text of {n} that is long enough" for n in ("content-a", "content-a", "entry-b", "plain")]

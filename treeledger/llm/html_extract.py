@@ -7,10 +7,11 @@ merged, and texts that differ become slots. What comes out is a union-free expre
 elements, optional and repeated groups, constants and slots: the host's wrapper. It carries for
 each node how many pages and characters, and how many characters of links, it has taken in.
 
-From the wrapper the rules of the host are read: which paths hold the article (an article or main
-element, else the node that holds most unlinked text), and which paths in it are menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments. Every page of the host is then
-read by these rules.
+From the wrapper the rules of the host are read: which paths hold the article (article elements,
+main elements, and the node that holds most unlinked text outside of both), and which paths in it
+are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. Every page of the
+host is then read by these rules: by the first of the three in which it has text itself, so that hosts can mix
+templates. Where a page has none of them, its own tree gives the rules.
 
 Wrappers are folded in each batch of rows, then merged in two steps of groups (host and salt, then
 host), so the pages of a hot host are spread and only small wrappers are shuffled. Rules are
@@ -294,12 +295,16 @@ def is_comment(key: str) -> bool:
     return any(w.startswith(("comment", "repl", "discuss", "respons")) for w in key.split(".")[1:])
 
 
-def rules_of(wrapper: list) -> dict[str, list[str]]:
-    """Paths of the article, and paths inside it that aren't part of it."""
-    nodes: list[tuple[str, list, bool, bool]] = []
+def rules_of(wrapper: list) -> dict:
+    """Paths of the article, and paths inside it that aren't part of it.
 
-    def walk(node: list, path: str, aside: bool, in_article: bool) -> int:
-        """Unlinked characters below a node outside of what is aside."""
+    ``main`` has all article paths, then all main paths, if there are any. ``container`` is the path that holds the
+    most of what is outside of both; ``mass`` is the number of unlinked characters outside of what is aside.
+    """
+    nodes: list[tuple[str, list, bool]] = []
+
+    def walk(node: list, path: str, aside: bool, in_article: bool) -> tuple[int, int]:
+        """Unlinked characters below a node outside of what is aside; and those that are in no article or main element either."""
         key = node[0]
         if key[0] != "(":
             path = f"{path}/{key}"
@@ -308,36 +313,40 @@ def rules_of(wrapper: list) -> dict[str, list[str]]:
             aside = aside or own
             in_article = in_article or tag in ("article", "main")
         at = len(nodes)
-        nodes.append((path, node, aside, in_article))
+        nodes.append((path, node, aside))
         mass = 0 if aside else node[2] - node[3]
-        mass += sum(walk(c[0], path, aside, in_article) for c in node[4])
-        masses[at] = mass
-        return mass
+        rest = 0 if in_article else mass
+        for c in node[4]:
+            below = walk(c[0], path, aside, in_article)
+            mass, rest = mass + below[0], rest + below[1]
+        masses[at], rests[at] = mass, rest
+        return mass, rest
 
     masses: dict[int, int] = {}
+    rests: dict[int, int] = {}
     walk(wrapper, "", False, False)
     real = [(i, *n) for i, n in enumerate(nodes) if n[1][0][0] != "("]
 
-    def named(tags: tuple[str, ...]) -> list[str]:
-        return [path for i, path, node, aside, _ in real if not aside and node[0].split(".")[0] in tags and masses[i] > 0]
+    def named(tag: str) -> list[str]:
+        return sorted({path for i, path, node, aside in real if not aside and node[0].split(".")[0] == tag and masses[i] > 0})
 
-    main = named(("article",)) or named(("main",))
-    if not main:
-        marked = [(masses[i], path) for i, path, node, aside, _ in real if not aside and masses[i] > 0 and MAIN_WORDS & set(node[0].split(".")[1:])]
-        total = masses[0]
-        if marked and max(marked)[0] >= 0.3 * total:
-            main = [max(marked, key=lambda x: (x[0], len(x[1])))[1]]
-        elif total > 0:  # the deepest node with most of the text that isn't itself a part of a text
-            main = [max(((len(path), path) for i, path, node, aside, _ in real if not aside and masses[i] >= 0.7 * total and node[0].split(".")[0] not in PARTS))[1]]
-    drop = [path for _, path, node, aside, _ in real if aside]
-    return {"main": sorted(set(main)), "drop": sorted(set(drop))}
+    container = None
+    marked = [(rests[i], path) for i, path, node, aside in real if not aside and rests[i] > 0 and MAIN_WORDS & set(node[0].split(".")[1:])]
+    total = rests[0]
+    if marked and max(marked)[0] >= 0.3 * total:
+        container = max(marked, key=lambda x: (x[0], len(x[1])))[1]
+    elif total > 0:  # the deepest node with most of the text that isn't itself a part of a text
+        container = max((len(path), path) for i, path, node, aside in real if not aside and rests[i] >= 0.7 * total and node[0].split(".")[0] not in PARTS)[1]
+    main = [paths for paths in (named("article"), named("main")) if paths]
+    drop = [path for _, path, _, aside in real if aside]
+    return {"main": main, "container": container, "drop": sorted(set(drop)), "mass": masses[0]}
 
 
-def extract(html: str | None, rules: dict[str, list[str]]) -> str:
-    """The text of a page by the rules of its host: its blocks joined by line breaks."""
-    main, drop = set(rules["main"]), set(rules["drop"])
+def read(page: Node, main: list[str], drop: list[str]) -> str:
+    """The text below some paths of a page: its blocks joined by line breaks."""
+    inner, outer = set(main), set(drop)
     out: list[str] = []
-    stack = [(shallow(parse(html)), "", False)]
+    stack = [(page, "", False)]
     while stack:  # what is still to be read
         item, path, inside = stack.pop()
         if isinstance(item, Text):
@@ -345,13 +354,32 @@ def extract(html: str | None, rules: dict[str, list[str]]) -> str:
                 out.append(item)
             continue
         path = f"{path}/{item.key}"
-        if path in drop:
+        if path in outer:
             continue
-        inside = inside or path in main
+        inside = inside or path in inner
         stack.extend((x, path, inside) for x in reversed(item.items))
     return "\n".join(out)
 
 
+def extract(html: str | None, rules: dict) -> str:
+    """The text of a page by the rules of its host, or by its own where it has no text in any path that they name."""
+    page = shallow(parse(html))
+    for paths in rules["main"]:
+        if text := read(page, paths, rules["drop"]):
+            return text
+    text = read(page, [rules["container"]], rules["drop"]) if rules["container"] else ""
+    if text and not rules["main"]:
+        return text
+    own = rules_of(wrapper_of(page))
+    # Of a host with articles, the container may be what stands beside them; it counts where it has much of the page.
+    if text and len(text) >= 0.3 * own["mass"]:
+        return text
+    for paths in [*own["main"], *([[own["container"]]] if own["container"] else [])]:
+        if text := read(page, paths, own["drop"]):
+            return text
+    return ""
+
+
 def infer(pages: DataFrame) -> DataFrame:
     """host, wrapper: the wrapper of each host as JSON, from url and html."""
     host, _ = url_parts(F.col("url"))
