@@ -79,3 +79,37 @@ def test_table(spark):
     clean = {r.text for r in pii.redact_table(docs).collect()}
     assert clean == {"[EMAIL] [PHONE]", None, ""}
     assert pii.detect(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "kind,said",
+    [
+        *(("email", x) for x in ("jane{@}example{.}com", "jane<@>example.com", "jane[ @ ]example.com", "jane( @ )example( . )com", "jane@example{point}com", "jane@example[ punkt ]com", "jane@example dot\ncom")),
+        *(("email", x) for x in ("jane at example dot nl", "jane.doe at example dot museum", "jane at mail dot example dot museum", "jane@example dot museum", "jane [at] example dot museum")),
+        ("phone", "plus one four one five one one one one one one one"),
+        ("ip", "ten dot one dot two dot three".replace("ten", "one zero")),
+        ("ip", "one nine two dot one six eight dot 0 dot one"),
+        ("ip", "one[.]two[.]three[.]four"),
+    ],
+)
+def test_every_form_of_the_transducers_is_found(kind, said):
+    for text in (said, f"so {said} ."):
+        base, spans = pii.find(text)
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in spans] == [(kind, said)] and base == []
+
+
+def test_conditions_of_the_transducers_lose_nothing(monkeypatch):
+    random.seed(3)
+    parts = ["jane", "a1", "com", "x", "nl", "at", "AT", "dot", "Dot", "punkt", "@", ".", "[", "]", "(", ")", "{", "}", "<", ">", " ", " ", "\n", "-", ",", "one", "Two", "ſix", "sıx", "seven", "zero", "double ", "plus ", "10", "7", "＠", "е", "​"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(1, 24))) for _ in range(20000)]
+    texts += [f"jane{a}{s}at{s}{b}example{a}{s}{d}{s}{b}com" for a, b in ("[]", "()", "{}", "<>") for s in ("", " ") for d in (".", "dot", "punkt", "punto", "point")]
+    texts += [" dot ".join(random.choice(("one", "two five", "one nine two", "10", "double one")) for _ in range(4)) for _ in range(200)]
+    with_it = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "worth", lambda text, edits: True)
+    assert with_it == [pii.find(t) for t in texts]
+    assert sum(len(spans) > len(base) for base, spans in with_it) > 200
+
+
+def test_long_disguises_take_linear_time():
+    for text in (" at a" + " dot a" * 50_000 + " ", "a at " + "a." * 50_000, "one " * 50_000, "one dot " * 50_000, "[" * 100_000, "a@" + "b" * 200_000):
+        pii.find(text)

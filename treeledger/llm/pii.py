@@ -3,7 +3,7 @@
 Base detectors find e-mail addresses, IP addresses, card numbers and phone numbers in the text as
 it stands. Then transducers rewrite disguises, and record for each character that they put out the
 span of source characters that it stands for: look-alike letters and full-width signs become
-ASCII; spelled digits become digits; written-out or bracketed at and dot become their signs. The
+ASCII; spelled digits become digits (three or more in a row, or any in a dotted address); written-out or bracketed at and dot become their signs. The
 base detectors run again on the rewritten text, and the spans that took in a rewritten character
 are mapped back to the source. Such spans are added; base ones always stay.
 
@@ -81,19 +81,23 @@ GLYPH = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
 INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 # The digits as words.
 SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-WORD = "|".join(SPELLED)
+WORD = f"(?a:{'|'.join(SPELLED)})"  # not also by letters that only fold to ASCII ones
+TIMES = r"(?:(?:double|triple)\s+)?"
 DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:plus[\s-]+)?(?:(?:double|triple)\s+)?(?:{WORD})(?:[\s,-]+(?:(?:double|triple)\s+)?(?:{WORD})){{2,}}(?![^\W_])", re.I)
 DIGIT_WORD = re.compile(rf"(?:(double|triple)\s+)?({WORD})", re.I)
-LONE_DIGIT = re.compile(rf"(?<![^\W_])(?:{WORD})(?![^\W_])", re.I)
-BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
-BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?", re.I)
-# Name endings that a spelled-out address has to have.
-ENDINGS = "com org net edu gov info io de fr es uk eu"
-PLAIN_ADDRESS = re.compile(rf"(?<=[A-Za-z0-9])(\sat\s)[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)*?(?:\sdot\s)(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9])", re.I)
-PLAIN_DOT = re.compile(r"\sdot\s", re.I)
+AT = r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?"
+DOT = r"\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?"
+BRACKET_AT, BRACKET_DOT, PLAIN_DOT = re.compile(AT, re.I), re.compile(DOT, re.I), re.compile(r"\sdot\s", re.I)
+# Name endings that a short spelled-out address has to have; longer ones may have any.
+ENDINGS = "com org net edu gov info io de fr es uk eu nl pl ch se dk fi cz pt ie gr hu ro ru ua jp cn kr br mx ar cl au nz ca za il tr biz dev app xyz"
+LABELS = r"[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)*?"
+PLAIN_ADDRESS = re.compile(rf"(?<=[A-Za-z0-9])(\sat\s){LABELS}(?:\sdot\s)(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9])", re.I)
+LONG_ADDRESS = re.compile(r"(?<=[A-Za-z0-9])(\sat\s)[A-Za-z0-9-]+((?:(?:\sdot\s|\.)[A-Za-z0-9-]+)*)\sdot\s[A-Za-z]{2,}(?![A-Za-z0-9-])", re.I)
+SIGNED_ADDRESS = re.compile(rf"(?<=[A-Za-z0-9])(?:@|{AT})[A-Za-z0-9-]+(?:(?:\sdot\s|\.|{DOT})[A-Za-z0-9-]+)*(?:\sdot\s)[A-Za-z]{{2,}}(?![A-Za-z0-9-])", re.I)
 DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\sdot\s[0-9]{1,3}){3}(?![0-9])", re.I)
-CUES = ("[at", "(at", "{at", "<at", "[ at", "( at", "{ at", " dot ", "[dot", "(dot", "{dot", "<dot", "[ dot", "( dot", "(punkt", "[punkt", "(punto", "[punto", "(point", "[point", "[@", "(@", "[.", "(.")
-COUNTED = tuple(w for w in SPELLED if w != "one")
+OCTET = rf"(?:[0-9]{{1,3}}|{TIMES}{WORD}(?:[\s-]+{TIMES}{WORD}){{0,2}})"
+SPELLED_DOTTED = re.compile(rf"(?<![^\W_]){OCTET}(?:(?:\sdot\s|{DOT}){OCTET}){{3}}(?![^\W_])", re.I)
+SPELLED_OCTET = re.compile(rf"(?<![^\W_]){TIMES}{WORD}(?:[\s-]+{TIMES}{WORD}){{0,2}}(?![^\W_])", re.I)
 
 Edit = tuple[int, int, str]  # start, end, what replaces it
 
@@ -124,50 +128,76 @@ def glyph_edits(text: str) -> list[Edit]:
     return sorted([(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)] + [(m.start(), m.end(), "") for m in INVISIBLE.finditer(text)])
 
 
-def digit_edits(text: str) -> list[Edit]:
-    """Edits for runs of three or more spelled digits, each digit by itself."""
+def spelled_edits(text: str, start: int, end: int) -> list[Edit]:
+    """Edits for spelled digits in a row, each digit by itself."""
     out: list[Edit] = []
-    for run in DIGIT_RUN.finditer(text):
-        words = list(DIGIT_WORD.finditer(text, run.start(), run.end()))
-        if run[0][:4].lower() == "plus":
-            out.append((run.start(), words[0].start(), "+"))
-        for i, m in enumerate(words):
-            end = words[i + 1].start() if i + 1 < len(words) else m.end()
-            out.append((m.start(), m.end(), SPELLED[m[2].lower()] * {"double": 2, "triple": 3}.get((m[1] or "").lower(), 1)))
-            if end > m.end():
-                out.append((m.end(), end, ""))
+    words = list(DIGIT_WORD.finditer(text, start, end))
+    if text[start : start + 4].lower() == "plus":
+        out.append((start, words[0].start(), "+"))
+    for i, m in enumerate(words):
+        stop = words[i + 1].start() if i + 1 < len(words) else m.end()
+        out.append((m.start(), m.end(), SPELLED[m[2].lower()] * {"double": 2, "triple": 3}.get((m[1] or "").lower(), 1)))
+        if stop > m.end():
+            out.append((m.end(), stop, ""))
     return out
 
 
+def digit_edits(text: str) -> list[Edit]:
+    """Edits for runs of three or more spelled digits, and for one or two of them in a dotted address."""
+    runs = [(m.start(), m.end()) for m in DIGIT_RUN.finditer(text)]
+    taken = [False] * len(text) if runs else []
+    for a, b in runs:
+        taken[a:b] = [True] * (b - a)
+    for m in SPELLED_DOTTED.finditer(text):
+        runs += [(o.start(), o.end()) for o in SPELLED_OCTET.finditer(text, m.start(), m.end()) if not taken or not any(taken[o.start() : o.end()])]
+    return [e for a, b in sorted(runs) for e in spelled_edits(text, a, b)]
+
+
+def full_form(text: str, m: re.Match) -> bool:
+    """Whether what says at and dot is an address by its form: a name with letters and other signs, or more than one dot."""
+    if m[2]:
+        return True
+    start = m.start()
+    while start > max(0, m.start() - 64) and text[start - 1] in LOCAL:
+        start -= 1
+    name = text[start : m.start()]
+    return any(c.isalpha() for c in name) and not name.replace("-", "").isalpha()
+
+
 def sign_edits(text: str) -> list[Edit]:
     out = [(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(text)]
-    for m in PLAIN_ADDRESS.finditer(text):
+    for m in [*PLAIN_ADDRESS.finditer(text), *(m for m in LONG_ADDRESS.finditer(text) if full_form(text, m))]:
         out.append((m.start(1), m.end(1), "@"))
         out += [(d.start(), d.end(), ".") for d in PLAIN_DOT.finditer(text, m.end(1), m.end())]
-    for m in DOTTED.finditer(text):
+    for m in [*DOTTED.finditer(text), *SIGNED_ADDRESS.finditer(text)]:
         out += [(d.start(), d.end(), ".") for d in PLAIN_DOT.finditer(text, m.start(), m.end())]
     if "@" in text or any(said == "@" for _, _, said in out):  # dots of an address whose at stands or was bracketed
         out += [(d.start(), d.end(), ".") for d in re.finditer(rf"(?<=[A-Za-z0-9])\sdot\s(?=[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)*(?![A-Za-z0-9]))(?=(?:[A-Za-z0-9-]+\sdot\s)*(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9]))", text, re.I)]
     return sorted(set(out))
 
 
-def disguised(text: str) -> bool:
-    """Whether a text has any sign of a disguise; cheap, and true at least wherever a transducer has work."""
+def worth(text: str, edits: object) -> bool:
+    """Whether a transducer may have work on a text. Each condition is one that all matches of its patterns need: a
+    bracket, the word dot, or three spelled digits."""
+    if edits is glyph_edits:
+        return not text.isascii()
     low = text.lower()
-    if not text.isascii() and (GLYPH.search(text) or INVISIBLE.search(text)):
+    if "dot" in low or edits is sign_edits and any(c in text for c in "[({<"):
         return True
-    return any(c in low for c in CUES) or "one one" in low or "one-one" in low or sum(map(low.count, COUNTED)) >= 1 or "\tdot" in low or "\ndot" in low
+    if edits is digit_edits:
+        return sum(map(low.count, SPELLED)) >= 3 or any(c in text for c in "[({<") and any(w in low for w in SPELLED)
+    return False
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only show after rewriting, in source offsets, none of them over a base span."""
-    if not disguised(text):
-        return []
-    aligned = Aligned(text)
+    aligned = None
     for edits in (glyph_edits, digit_edits, sign_edits):
-        if found := edits(aligned.text):
+        now = aligned.text if aligned else text
+        if worth(now, edits) and (found := edits(now)):
+            aligned = aligned or Aligned(text)
             aligned.apply(found)
-    if aligned.text == text:
+    if not aligned or aligned.text == text:
         return []
     out = []
     for start, kind, end in base_spans(aligned.text):
