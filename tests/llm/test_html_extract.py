@@ -67,3 +67,17 @@ def test_pages_of_a_host_without_articles_may_differ():
     for page in pages[1:]:
         host = he.merge(host, he.wrapper_of(he.parse(page)))
     assert [he.extract(p, he.rules_of(host)) for p in pages] == [f"the text of {n} that is long enough" for n in ("content-a", "content-a", "entry-b", "plain")]
+
+
+UTILITIES = "col-md-4 d-none d-lg-block float-right mt-3 px-2 align-items-center border"
+
+
+@pytest.mark.parametrize("word", ["sidebar", "share", "social", "related", "subscribe", "widget", "sponsor", "promo", "responses"])
+def test_deciding_words_are_kept_among_many(word):
+    assert both(f'<article><p>the text</p><div class="{UTILITIES} {word}"><p>beside it</p></div></article>') == "the text"
+
+
+def test_marked_articles_are_kept_among_many_words():
+    html = f'<div class="{UTILITIES}"><p>beside, of some length</p></div><div class="{UTILITIES} story"><p>the text, of some length</p></div>'
+    assert both(html) == "the text, of some length"
+    assert len(he.attribute_words(f'class="{" ".join(chr(97 + i // 26) + chr(97 + i % 26) for i in range(99))}"')) == he.MOST_WORDS

@@ -62,6 +62,9 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement adbox sponsor sponsored promo promotion banner sidebar side aside menu navigation nav navbar topbar breadcrumb breadcrumbs masthead footer foot comment comments reply replies discussion disqus respond cookie cookies consent notice notices alert warning newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal overlay widget toolbar pagination pager search form tags legal copyright disclaimer contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset("content article post entry story main text body articlebody postbody maincontent".split())
+COMMENT_STARTS = ("comment", "repl", "discuss", "respons")
+#: Words of class, id and role that a node keeps; those that rules ask for are kept beyond.
+MOST_WORDS = 8
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody tr td th figure figcaption".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -93,7 +96,14 @@ def attribute_words(attributes: str) -> tuple[str, ...]:
             found.add("hidden")
         elif name != "aria-label":
             found.update(w.lower() for w in WORDS.findall(value))
-    return tuple(sorted(found))[:8]
+    deciding = {w for w in found if decides(w)}
+    rest = sorted(found - deciding)[: max(0, MOST_WORDS - len(deciding))]
+    return tuple(sorted([*deciding, *rest]))
+
+
+def decides(word: str) -> bool:
+    """Whether rules ask for a word."""
+    return word in ("hidden", "header") or word in MAIN_WORDS or word in ASIDE_WORDS or word.rstrip("s") in ASIDE_WORDS or word.startswith(COMMENT_STARTS)
 
 
 class Text(str):
@@ -292,7 +302,7 @@ def is_aside(key: str) -> bool:
 
 
 def is_comment(key: str) -> bool:
-    return any(w.startswith(("comment", "repl", "discuss", "respons")) for w in key.split(".")[1:])
+    return any(w.startswith(COMMENT_STARTS) for w in key.split(".")[1:])
 
 
 def rules_of(wrapper: list) -> dict:
