@@ -7,10 +7,13 @@ string. Messages are wrapped in turn marks and joined per conversation. Everythi
 DataFrame expression; there is one exchange, on the conversation.
 
 The escape is reversible: ``<|`` inside a text becomes ``<||``, so no mark can be read inside a
-text and each ``<||`` of the output is one ``<|`` of the input. A line break inside a role is
+text and each ``<||`` of the output is one ``<|`` of the input. Text parts that follow one another are
+escaped as one text, so that no mark can be put together from several. A line break inside a role is
 written as ``<|n|>``.
 
-Defined cases: null text is the empty text; null role is the empty role; null turns come first;
+Defined cases: null text is the empty text; null parts are left out, a null list has no parts; a part whose kind
+is null or unknown has the placeholder ``<|other|>`` and stands with its own kind among the attachments, as one
+token for each unit; null role is the empty role; null turns come first;
 equal turns are ordered by role, then text, and repeated rows stay repeated; a null conv_id is a
 conversation of its own; an empty table gives an empty table; other columns are ignored. A
 conversation is one row of the output, so one conversation has to fit in one task.
@@ -27,6 +30,8 @@ START, END, PLACE_CLOSE = "<|im_start|>", "<|im_end|>\n", "|>"
 END_PATTERN = r"<\|im_end\|>\n"
 #: Tokens that one unit of an attachment expands to: an image tile, a second of sound, a page.
 EXPANDED = {"image": 256, "audio": 25, "document": 512}
+#: What stands for an attachment of another kind.
+OTHER = "other"
 PARTS = "array<struct<kind:string,text:string,ref:string,units:bigint>>"
 
 
@@ -55,16 +60,26 @@ def text_parts(text: Column) -> Column:
 
 def visit(parts: Column) -> Column:
     """The flattened string of a list of parts."""
-    return F.array_join(
-        F.transform(parts, lambda p: F.when(p["kind"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), p["kind"], F.lit(PLACE_CLOSE)))), ""
-    )
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+
+    def step(s: Column, p: Column) -> Column:
+        mark = F.concat(F.lit("<|"), F.when(p["kind"].isin(*EXPANDED), p["kind"]).otherwise(F.lit(OTHER)), F.lit(PLACE_CLOSE))
+        is_text = F.coalesce(p["kind"] == "text", F.lit(False))
+        done = F.when(is_text, s["done"]).otherwise(F.concat(s["done"], escape(s["run"]), mark))
+        return F.struct(done.alias("done"), F.when(is_text, F.concat(s["run"], F.coalesce(p["text"], F.lit("")))).otherwise(F.lit("")).alias("run"))
+
+    return F.aggregate(present(parts), start, step, lambda s: F.concat(s["done"], escape(s["run"])))
+
+
+def present(parts: Column) -> Column:
+    return F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p.isNotNull())
 
 
 def attachments(parts: Column, expanded: Mapping[str, int] = EXPANDED) -> Column:
     """(kind, ref, tokens) of the parts that are not text, in order."""
     rate = F.create_map(*[F.lit(x) for kv in expanded.items() for x in kv])
     return F.transform(
-        F.filter(parts, lambda p: p["kind"] != "text"),
+        F.filter(present(parts), lambda p: F.coalesce(p["kind"] != "text", F.lit(True))),
         lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), (F.coalesce(p["units"], F.lit(1)) * F.coalesce(rate[p["kind"]], F.lit(1))).cast("bigint").alias("tokens")),
     )
 
