@@ -53,6 +53,20 @@ def test_spans_cover_the_original_bytes():
         assert at == len(raw)
 
 
+def test_spans_as_arrays_equal_those_by_characters(library):
+    m = pc.model(PATH)
+    for text in samples():
+        said = ",".join(map(str, library.encode(text)))
+        begins, ends = m.span_arrays(text, said)
+        assert [tuple(x) for x in zip(begins.tolist(), ends.tolist(), strict=True)] == [(a, b) for _, a, b in m.encode_spans(text)], text
+
+
+def test_merges_by_scan_and_by_heap_agree(monkeypatch):
+    m = pc.model(PATH)
+    words = sorted({w for t in samples() for w in m.unit.findall(m.normalise(t)[0]) if len(w) <= 48} | {pc.SPACE + "x" * n + "tion" for n in range(40)})
+    assert [m._merged(w) for w in words] == [m._merged_long(w) for w in words]
+
+
 def compiled(rules):
     """A character map of one-byte keys, laid out as the library lays out its double array."""
     texts, places = b"", {}
@@ -87,6 +101,7 @@ def test_table(spark, library):
         ids = library.encode(t)
         want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
     assert got == want
+    assert all(r.n_bytes == r.spanned_bytes for r in pc.digest_table(docs, PATH).collect())
     back = pc.decode_table(pc.encode_table(docs, PATH), PATH)
     assert {r.text for r in back.collect()} == {"The cat", "", "é\n x"}
     assert pc.digest_table(docs.limit(0), PATH).collect() == []

@@ -7,8 +7,12 @@ that alignment to a span of the original UTF-8 bytes. Decoding turns ids back in
 
 Merges never cross the front of a run of space marks when no piece has a space mark behind
 another character, nor a character that occurs in no longer piece; the text is cut there. A
-process remembers the ids of the words it met, in a memory of bounded size; for models whose map
-changes nothing the words that it does not remember go to the library in batches.
+process remembers the ids of the words it met, in a memory of bounded size; words that it does not remember are
+merged anew. The library reads the model's file for the tests alone.
+
+``digest_table`` encodes with spans, decodes, and returns digests of ids, spans and the decoded text. Where the map is
+empty (each character stands for itself) the alignment follows from the bytes of the pieces, and spans are made as
+arrays; else, and for texts that hold the space mark itself, character by character. Both are held against each other by tests.
 
 Defined cases: null is the empty text; an empty text has no pieces; a text of any length is
 encoded whole; repeated rows stay repeated; an empty table gives an empty table; other columns
@@ -19,11 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a process remembers, and their length at most. When the memory is full it becomes the old one,
 #: and the words that are met again move to the new one.
 REMEMBERED, LONGEST = 300_000, 48
+NONE = math.inf
 
 
 class CharacterMap:
@@ -74,9 +80,8 @@ class Model:
     """A byte-pair model of the sentencepiece library, read from its file."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+        from sentencepiece import sentencepiece_model_pb2
 
-        self.library = SentencePieceProcessor(model_file=path)
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
@@ -95,11 +100,16 @@ class Model:
         self.free = self.mark_spaces and not any(SPACE in p.lstrip(SPACE) for p in self.merge)
         line = "" if "\n" in joined else "\\n"
         self.unit = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
-        #: Where words can go to the library one by one.
+        #: Whether a text is cut at single spaces, and each word can be encoded by itself.
         self.plain = self.free and self.dummy and not self.map.blob and not self.squeeze and line != ""
         self.words: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.begins = np.array([p.startswith(SPACE) for p in self.pieces])
+        self.ranks = {p: r for p, (r, _) in self.merge.items()}
+        #: Source bytes that a piece stands for where the map is empty; the value of a byte piece, else -1.
+        self.bytes_of = np.array([1 if k == BYTE else 0 if k == CONTROL else len(p.replace(SPACE, " ").encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
+        self.byte_of = np.full(len(self.pieces), -1)
+        for value, i in self.byte_ids.items():
+            self.byte_of[i] = value
         #: Normalised characters that a piece covers; of the bytes of a character, the last one covers it.
         self.sizes = [0 if k == BYTE else len(p) for p, k in zip(self.pieces, self.kinds, strict=True)]
 
@@ -148,6 +158,22 @@ class Model:
 
     def _merged(self, unit: str) -> list[str]:
         """Pieces of a unit: the best pair is merged until none is in the vocabulary; of equals, the left one first."""
+        if len(unit) > LONGEST:
+            return self._merged_long(unit)
+        pieces, rank = list(unit), self.ranks.get
+        ranks = [rank(a + b, NONE) for a, b in pairwise(pieces)]
+        while ranks and (least := min(ranks)) < NONE:
+            i = ranks.index(least)
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(pieces[i - 1] + pieces[i], NONE)
+            if i < len(ranks):
+                ranks[i] = rank(pieces[i] + pieces[i + 1], NONE)
+        return pieces
+
+    def _merged_long(self, unit: str) -> list[str]:
+        """The same with a heap, in n log n steps."""
         parts: list[str | None] = list(unit)
         n = len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -207,23 +233,17 @@ class Model:
         return out
 
     def _learn(self, words: list[str]) -> dict[str, str]:
-        """Ids of words, all encoded as one text: a piece that begins with a space mark begins a word."""
-        said = {w: x for w in words if (x := self._older(w)) is not None}
-        if said:
-            words = [w for w in words if w not in said]
-            if not words:
-                return said
-        ids = np.array(self.library.encode(" ".join(words), num_threads=1))
-        starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(words):
-            raise AssertionError("the pieces don't fall into words")
-        names = list(map(str, ids.tolist()))
-        ends = [*starts[1:].tolist(), len(names)]
-        new = {w: ",".join(names[a:b]) for w, a, b in zip(words, starts.tolist(), ends, strict=True)}
-        if len(self.words) + len(new) > REMEMBERED:
-            self.old, self.words = self.words, {}
-        self.words.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
-        return said | new
+        """Ids of words, each with the space mark before it."""
+        said = {}
+        for w in words:
+            if (x := self._older(w)) is None:
+                x = ",".join([str(i) for u in self.unit.findall(SPACE + w) for i in self._encoded(u)])
+                if len(w) <= LONGEST:
+                    if len(self.words) >= REMEMBERED:
+                        self.old, self.words = self.words, {}
+                    self.words[w] = x
+            said[w] = x
+        return said
 
     def _older(self, word: str) -> str | None:
         """Of a word met before the memory was last full."""
@@ -240,7 +260,7 @@ class Model:
         """(id, first byte, end byte) of each piece, in bytes of the original text. Bytes of one character share its span."""
         text = text or ""
         normal, places = self.normalise(text)
-        if places is None:
+        if places is None:  # each character stands for itself
             places = [0] * (bool(text) and self.dummy) + list(accumulate([len(c.encode()) for c in text], initial=0))
         said = self.joined(normal)
         out, at, held = [], 0, []
@@ -250,10 +270,27 @@ class Model:
             if size:
                 out += [(x, places[at], places[at + size]) for x in held]
                 held, at = [], at + size
-        if at != len(normal):
-            raise AssertionError("the pieces don't cover the text")
         return out
 
+    def span_arrays(self, text: str, said: str) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and end bytes of the pieces of a text whose ids are given as decimal numbers joined by commas."""
+        if not said:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.map.blob or self.squeeze or not self.mark_spaces or not self.byte_ids or SPACE in text:
+            spans = self.encode_spans(text)
+            return np.array([a for _, a, _ in spans]), np.array([b for _, _, b in spans])
+        ids = np.fromstring(said, dtype=np.int64, sep=",")
+        sizes = self.bytes_of[ids]
+        ends = np.cumsum(sizes) - self.dummy
+        begins = np.maximum(ends - sizes, 0)
+        value = self.byte_of[ids]
+        if (value >= 0).any():  # the bytes of a character share its span
+            new = (value < 0x80) | (value >= 0xC0)
+            of = np.cumsum(new) - 1
+            begins = begins[new][of]
+            ends = ends[np.append(np.flatnonzero(new)[1:] - 1, len(ids) - 1)][of]
+        return begins, ends
+
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_joined(",".join(map(str, ids)))
 
@@ -292,7 +329,7 @@ def model(path: str) -> Model:
 
 
 ENCODED = "doc_id bigint, ids array<int>, begins array<int>, ends array<int>"
-DIGESTS = "doc_id bigint, n_tokens bigint, n_bytes bigint, ids_sha256 string, decoded_sha256 string"
+DIGESTS = "doc_id bigint, n_tokens bigint, n_bytes bigint, spanned_bytes bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
 def encode_table(docs: DataFrame, path: str) -> DataFrame:
@@ -323,7 +360,13 @@ def decode_table(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digest_table(docs: DataFrame, path: str) -> DataFrame:
-    """Encodes, decodes, and returns the digests, in one pass."""
+    """Encodes with spans, decodes, and returns the digests, in one pass.
+
+    ``spans_sha256`` is of the first byte and the end byte of each piece, as 64-bit little-endian numbers;
+    ``spanned_bytes`` is where the last span ends, ``n_bytes`` where the text does.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    columns = [c.split()[0] for c in DIGESTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -332,13 +375,13 @@ def digest_table(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(i, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = [_digest(m, t, x) for t, x in zip(texts, m.joined_many([m.normalise(t)[0] for t in texts]), strict=True)]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], columns)
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
 
 
-def _digest(m: Model, text: str, said: str) -> tuple[int, int, str, str]:
-    n = said.count(",") + 1 if said else 0
-    return n, len(text.encode()), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(m.decode_joined(said).encode()).hexdigest()
+def _digest(m: Model, text: str, said: str) -> tuple[int, int, int, str, str, str]:
+    begins, ends = m.span_arrays(text, said)
+    spans = np.stack([begins, ends], axis=1).astype("<i8").tobytes()
+    decoded = m.decode_joined(said).encode()
+    return len(begins), len(text.encode()), int(ends[-1]) if len(ends) else 0, *(hashlib.sha256(x).hexdigest() for x in (said.encode(), decoded, spans))
