@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -113,3 +114,24 @@ def test_conditions_of_the_transducers_lose_nothing(monkeypatch):
 def test_long_disguises_take_linear_time():
     for text in (" at a" + " dot a" * 50_000 + " ", "a at " + "a." * 50_000, "one " * 50_000, "one dot " * 50_000, "[" * 100_000, "a@" + "b" * 200_000):
         pii.find(text)
+
+
+@pytest.mark.parametrize(
+    "text,clean",
+    [
+        ("so jane dot doe at example dot com .", "so [EMAIL] ."),
+        ("so jаne@example.com .", "so [EMAIL] ."),  # one letter is Cyrillic
+        ("so jane at example dot ch .", "so [EMAIL] ."),
+        ("a@b.de jаne.ｄoe@example.com", "[EMAIL] [EMAIL]"),
+    ],
+)
+def test_redaction_leaves_no_part_of_an_address(text, clean):
+    base, spans = pii.find(text)
+    assert set(base) <= set(spans) and pii.redact(text) == clean
+
+
+def test_many_signs_take_linear_time():
+    began = time.perf_counter()
+    for text in ("x@y " + "a dot " * 170_000, "a at " * 200_000, "a at b dot " * 90_000, "a dot " * 170_000 + "at b dot com", "a@b.com " * 100_000 + "jаne"):
+        pii.find(text)
+    assert time.perf_counter() - began < 20

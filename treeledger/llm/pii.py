@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,10 +91,14 @@ DOT = r"\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?"
 BRACKET_AT, BRACKET_DOT, PLAIN_DOT = re.compile(AT, re.I), re.compile(DOT, re.I), re.compile(r"\sdot\s", re.I)
 # Name endings that a short spelled-out address has to have; longer ones may have any.
 ENDINGS = "com org net edu gov info io de fr es uk eu nl pl ch se dk fi cz pt ie gr hu ro ru ua jp cn kr br mx ar cl au nz ca za il tr biz dev app xyz"
-LABELS = r"[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)*?"
-PLAIN_ADDRESS = re.compile(rf"(?<=[A-Za-z0-9])(\sat\s){LABELS}(?:\sdot\s)(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9])", re.I)
-LONG_ADDRESS = re.compile(r"(?<=[A-Za-z0-9])(\sat\s)[A-Za-z0-9-]+((?:(?:\sdot\s|\.)[A-Za-z0-9-]+)*)\sdot\s[A-Za-z]{2,}(?![A-Za-z0-9-])", re.I)
-SIGNED_ADDRESS = re.compile(rf"(?<=[A-Za-z0-9])(?:@|{AT})[A-Za-z0-9-]+(?:(?:\sdot\s|\.|{DOT})[A-Za-z0-9-]+)*(?:\sdot\s)[A-Za-z]{{2,}}(?![A-Za-z0-9-])", re.I)
+KNOWN_ENDINGS = frozenset(ENDINGS.split())
+ATOM = r"[A-Za-z0-9_%+-]"
+#: What stands between the parts of an address: its sign, or the sign written out or in brackets.
+BETWEEN = rf"\sat\s|\sdot\s|@|\.|{AT}|{DOT}"
+#: Parts that signs join, as many as follow one another: each character is read once.
+CHAIN = re.compile(rf"(?<!{ATOM}){ATOM}++(?:(?:{BETWEEN}){ATOM}++)++", re.I)
+LINK = re.compile(rf"(?P<part>{ATOM}++)|(?P<sign>{BETWEEN})", re.I)
+LABEL = re.compile(r"[A-Za-z0-9-]+")
 DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\sdot\s[0-9]{1,3}){3}(?![0-9])", re.I)
 OCTET = rf"(?:[0-9]{{1,3}}|{TIMES}{WORD}(?:[\s-]+{TIMES}{WORD}){{0,2}})"
 SPELLED_DOTTED = re.compile(rf"(?<![^\W_]){OCTET}(?:(?:\sdot\s|{DOT}){OCTET}){{3}}(?![^\W_])", re.I)
@@ -153,26 +158,47 @@ def digit_edits(text: str) -> list[Edit]:
     return [e for a, b in sorted(runs) for e in spelled_edits(text, a, b)]
 
 
-def full_form(text: str, m: re.Match) -> bool:
-    """Whether what says at and dot is an address by its form: a name with letters and other signs, or more than one dot."""
-    if m[2]:
-        return True
-    start = m.start()
-    while start > max(0, m.start() - 64) and text[start - 1] in LOCAL:
-        start -= 1
-    name = text[start : m.start()]
-    return any(c.isalpha() for c in name) and not name.replace("-", "").isalpha()
+def chain_edits(text: str) -> list[Edit]:
+    """Edits for the plain ats and dots of addresses, from one walk over the chains of parts and signs.
+
+    After an at, parts joined by dots are a domain, up to the last one that can end a name. Where the at stands as a sign or
+    in brackets, any ending will do; for a plain " at " it has to be one of ``ENDINGS``, or the form speaks for an address: a
+    name of letters and other signs, or more than one dot. Written-out dots before the at belong to the name.
+    """
+    out: list[Edit] = []
+    for chain in CHAIN.finditer(text):
+        links = list(LINK.finditer(text, chain.start(), chain.end()))
+        parts, signs = links[::2], links[1::2]
+        kinds = ["@" if "@" in s[0] or "at" in s[0].lower() else "." for s in signs]
+        free = 0
+        for i, kind in enumerate(kinds):
+            if kind != "@" or i < free:
+                continue
+            end = i + 1
+            while end < len(kinds) and kinds[end] == "." and LABEL.fullmatch(parts[end][0]):
+                end += 1
+            while end > i + 1 and not (ending := parts[end][0].strip("-")).isalpha():
+                end -= 1
+            if end == i + 1 or not LABEL.fullmatch(parts[i + 1][0]) or len(ending) < 2:
+                continue
+            start = i
+            while start > free and kinds[start - 1] == ".":
+                start -= 1
+            if signs[i][0].isspace() or signs[i][0].strip().lower() == "at":
+                name = text[parts[start].start() : signs[i].start()]
+                letters = any(c.isalpha() for c in parts[i][0]) and not parts[i][0].replace("-", "").isalpha() or "." in name
+                if not (ending.lower() in KNOWN_ENDINGS or letters or end > i + 2) or not any(s[0].strip().lower() == "dot" for s in signs[i + 1 : end]):
+                    continue
+            out += [(s.start(), s.end(), k) for s, k in zip(signs[start:end], kinds[start:end], strict=True)]
+            free = end
+    return out
 
 
 def sign_edits(text: str) -> list[Edit]:
     out = [(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(text)]
-    for m in [*PLAIN_ADDRESS.finditer(text), *(m for m in LONG_ADDRESS.finditer(text) if full_form(text, m))]:
-        out.append((m.start(1), m.end(1), "@"))
-        out += [(d.start(), d.end(), ".") for d in PLAIN_DOT.finditer(text, m.end(1), m.end())]
-    for m in [*DOTTED.finditer(text), *SIGNED_ADDRESS.finditer(text)]:
+    for m in DOTTED.finditer(text):
         out += [(d.start(), d.end(), ".") for d in PLAIN_DOT.finditer(text, m.start(), m.end())]
-    if "@" in text or any(said == "@" for _, _, said in out):  # dots of an address whose at stands or was bracketed
-        out += [(d.start(), d.end(), ".") for d in re.finditer(rf"(?<=[A-Za-z0-9])\sdot\s(?=[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)*(?![A-Za-z0-9]))(?=(?:[A-Za-z0-9-]+\sdot\s)*(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9]))", text, re.I)]
+    out += [e for e in chain_edits(text) if text[e[0] : e[1]] != e[2]]
     return sorted(set(out))
 
 
@@ -190,7 +216,9 @@ def worth(text: str, edits: object) -> bool:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only show after rewriting, in source offsets, none of them over a base span."""
+    """Spans that only show after rewriting, in source offsets, none of them inside a base span of its kind.
+
+    One that takes in more than a base span does, as of a name of which a single letter is a look-alike, stands beside it."""
     aligned = None
     for edits in (glyph_edits, digit_edits, sign_edits):
         now = aligned.text if aligned else text
@@ -203,9 +231,17 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     for start, kind, end in base_spans(aligned.text):
         if any(aligned.new[start:end]) or aligned.ends[end - 1] - aligned.starts[start] != end - start:
             a, b = aligned.starts[start], aligned.ends[end - 1]
-            if not any(s < b and a < e for s, _, e in base):
-                out.append((a, kind, b))
-    return out
+            out.append((a, kind, b))
+    return [x for x in sorted(set(out)) if not inside(x, base)] if base else out
+
+
+def inside(span: Span, base: list[Span]) -> bool:
+    """Whether a base span of its kind holds a span. Base spans of a kind don't overlap, and stand by start."""
+    start, kind, end = span
+    for i in range(bisect_right(base, (start, len(KINDS), 0)) - 1, -1, -1):
+        if base[i][1] == kind:
+            return base[i][2] >= end
+    return False
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
