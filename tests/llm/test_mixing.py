@@ -55,11 +55,19 @@ def test_entropy_target(spark):
 def test_documents_follow_the_plan(spark):
     df = docs(spark, {"big": 200, "small": 20, None: 5}).withColumn("key", mixing.F.lit("clash"))
     times = collections.Counter(r.doc_id for r in mixing.mix(df).collect())
-    made = mixing.mix_documents(df.drop("key"))
-    assert made.columns == df.drop("key").columns
+    df = df.withColumn("full", mixing.F.lit(1)).withColumn("upto_h", mixing.F.lit(2)).withColumn("_full", mixing.F.lit(3)).withColumn("doc", mixing.F.lit(4))
+    made = mixing.mix_documents(df)
+    assert made.columns == df.columns and {(r["key"], r["full"], r["upto_h"], r["_full"], r["doc"]) for r in made.collect()} == {("clash", 1, 2, 3, 4)}
     assert collections.Counter(r.doc_id for r in made.collect()) == times
 
 
+def test_wordless_sources_are_dealt_to_all_blocks(spark):
+    rows = [(i, "w " * 50, "en", "a", 1) for i in range(200)] + [(1000 + i, None, "en", "empty", 0) for i in range(400)]
+    got = collections.Counter((r.source, r.block) for r in mixing.mix(spark.createDataFrame(rows, DOCS), block_words=2500).collect())
+    blocks = {b for _, b in got}
+    assert len(blocks) == 4 and all(50 < got["empty", b] < 150 for b in blocks)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", "a", 0), (None, "x y", "en", None, 0), (2, "", "en", "b", 0), (3, "x", "en", "b", 0), (3, "x", "en", "b", 0)]
     df = spark.createDataFrame(rows, DOCS)

@@ -87,7 +87,7 @@ with recursive docs as (
     cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as words
   from documents
 ),
-totals as (select key, cast(sum(words) as bigint) as sum from docs group by key),
+totals as (select key, cast(sum(words) as bigint) as sum, count(*) as docs from docs group by key),
 ends as (select min(sum) filter (sum > 0) / cast(max(sum) as double) as ratio, max(sum) as top from totals),
 halves as (
   select 0 as i, cast(0 as double) as lo, cast(1 as double) as hi
@@ -97,13 +97,13 @@ halves as (
 ),
 exponent as (select case when pow(ratio, -1) <= 2 then 0 else ceil(hi * 1000000) / 1000000 end as a, top from halves, ends where i = 50),
 micro as (
-  select key, sum, case when sum > 0 then cast(round(pow(sum / cast(top as double), a - 1) * 1000000) as bigint) else 1000000 end as micro
+  select key, sum, docs, case when sum > 0 then cast(round(pow(sum / cast(top as double), a - 1) * 1000000) as bigint) else 1000000 end as micro
   from totals, exponent
 ),
 plan as (
   select *, (micro // 1000000) * sum + ((micro % 1000000) * sum) // 1000000 as budget, cast(micro // 1000000 as int) as full_passes from micro
 ),
-sized as (select *, budget - full_passes * sum as rest, greatest(1, cast(ceil(sum(budget) over () / 1000000.0) as bigint)) as blocks from plan),
+sized as (select *, budget - full_passes * sum as rest, greatest(1, cast(ceil(sum(budget) over () / 1000000.0) as bigint), cast(ceil(sum(docs) over () / 200000.0) as bigint)) as blocks from plan),
 copies as (
   select doc_id, source, d.key, words, sum, budget, full_passes, rest, blocks, cast(e.epoch as int) as epoch,
     cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || '-' || cast(e.epoch as varchar)), 1, 15) as bigint) as h
@@ -111,7 +111,7 @@ copies as (
 ),
 summed as (select *, sum(words) over (partition by key, epoch order by h) as upto from copies),
 taken as (
-  select *, cast(case when budget > 0 then least(floor((epoch * sum + upto - words) / cast(budget as double) * blocks), blocks - 1) else 0 end as bigint) as block
+  select *, cast(case when budget > 0 then least(floor((epoch * sum + upto - words) / cast(budget as double) * blocks), blocks - 1) else h % blocks end as bigint) as block
   from summed where epoch < full_passes or upto <= rest
 )
 select doc_id, source, words, epoch, block, cast(row_number() over (partition by block order by h, doc_id nulls first, key, words) as int) as place
