@@ -41,3 +41,55 @@ def test_temperature_calibrates():
     z = rng.normal(0, 2, 4000)
     y = (rng.rand(4000) < 1 / (1 + np.exp(-z))).astype(float)
     assert abs(quality.calibrate(3 * z, y) - 3) < 0.4
+
+
+def brute_vectors(texts):
+    signs = quality.index_signs()[:-1].astype(int)
+    out = np.zeros_like(signs)
+    for text in texts:
+        rows = [quality.index_row(t) for t in quality.TOKEN.findall(text.lower())]
+        for i, r in enumerate(rows):
+            for j in range(max(0, i - quality.WINDOW), min(len(rows), i + quality.WINDOW + 1)):
+                if j != i:
+                    out[r] += signs[rows[j]]
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.where(norm > 0, out / np.maximum(norm, 1e-9), signs / np.sqrt(quality.NONZERO))
+
+
+def test_vectors_cover_all_documents_however_they_are_split(spark, monkeypatch):
+    rng = np.random.RandomState(1)
+    texts = [" ".join(rng.choice(["the", "Cat", "sat,", "on", "42", "mats__", "x"], rng.randint(0, 40))) for _ in range(300)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = brute_vectors([t or "" for t in texts])
+    monkeypatch.setattr(quality, "FAN", 2)
+    for parts in (1, 5):
+        assert np.allclose(quality.word_vectors(docs.repartition(parts)), want, atol=1e-6)
+
+
+def test_contexts_of_long_texts_are_cut_at_fixed_places(monkeypatch):
+    text = "one two three four five " * 400
+    whole = quality.Contexts()
+    whole.add(text)
+    whole.flush()
+    monkeypatch.setattr(quality, "TOKENS", 7)
+    cut = quality.Contexts()
+    cut.add(text)
+    cut.flush()
+    assert np.array_equal(whole.sums[:-1], cut.sums[:-1])
+    monkeypatch.setattr(quality, "CHARACTERS", 10)
+    assert " ".join("".join(quality.pieces(text)).split()) == text.strip()
+
+
+def test_repeated_labels_and_long_texts_count_once_and_whole(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "zzz 99 !! ") * (8000 if i < 4 else 5)) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    once, often = quality.fit(docs, labels), quality.fit(docs, labels.union(labels).union(labels))
+    assert np.array_equal(once.network.w1, often.network.w1)
+    rows = {r.doc_id: r.predicted for r in quality.classify(docs, labels).collect()}
+    assert rows == {i: i % 2 for i in range(60)}
+
+
+def test_columns_that_are_kept_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 0.3, "k")], "doc_id bigint, text string, score double, _text string")
+    row = quality.scored(docs, quality.Classifier(np.zeros((quality.INDEX_ROWS, quality.DIMENSIONS), np.float32), None), keep=("score", "_text", "doc_id")).collect()
+    assert [tuple(r) for r in row] == [(1, 0.5)]

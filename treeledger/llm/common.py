@@ -65,3 +65,8 @@ class Scratch:
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def drop_all(self) -> None:
+        """Removes all tables of the query, when nothing reads them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

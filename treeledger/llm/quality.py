@@ -1,12 +1,14 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-Fitting. At most ``FIT_ROWS`` labelled documents whose crc32 remainder is not held out, those with
-the smallest hash of their doc_id, and none above ``FIT_CHARS`` characters, are brought to the
-driver: this bound is a parameter, and all else covers all rows. Each token has a sparse random
-index vector made from its hash. A word's vector is the sum of the index vectors of its
-neighbours within ``WINDOW`` tokens over these documents, scaled to length one; a word that was
-not seen keeps its index vector. A vector for its written shape (capitals, digits, marks) is
-added. A document is pooled twice, over its tokens and over its distinct tokens, and its length and
+Word vectors are statistics of the whole corpus. Each word (a token in lower case, by a hash to one of 2^``INDEX_BITS`` rows) has
+a sparse random index vector; its vector is the sum of the index vectors of its neighbours within ``WINDOW`` tokens, over
+all documents, scaled to length one. A row that no text has keeps its index vector. Tasks add up whole numbers in a table of
+fixed size, and the tables are added in rounds of ``FAN``, so that neither the split nor the order changes the vectors.
+
+The network is fitted on at most ``FIT_ROWS`` labelled documents whose crc32 remainder is not held out, those with
+the smallest hash of their doc_id: this bound is a parameter, and all else covers all rows. They are pooled by the
+executors; the driver gets their pooled numbers and no texts. A vector for a token's written shape (capitals, digits, marks) is
+added to its word's. A document is pooled twice, over its tokens and over its distinct tokens, and its length and
 share of distinct tokens are appended. A two-layer numpy network is trained on four fifths of the
 documents; the temperature that calibrates its probabilities is found on the rest.
 
@@ -14,7 +16,8 @@ Scoring is one pass without an exchange; the fitted arrays, a few MB of fixed si
 the function.
 
 Defined cases: a null text is an empty text, and an empty text is pooled to zeros and scored; a
-null doc_id counts as not held out when its remainder is null, and is scored; without labels of
+null doc_id counts as not held out when its remainder is null, and is scored; of labels that repeat a doc_id the highest
+counts, of documents that do, the one whose pooled numbers are the least; without labels of
 both kinds every score is 0.5; repeated rows stay repeated; an empty table gives an empty table;
 other columns are ignored, and labels, lang, source and doc_id are never inputs of a score.
 """
@@ -31,31 +34,47 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import least_hashes
+from treeledger.llm.common import Scratch, least_hashes
 
-DIMENSIONS, NONZERO, WINDOW, HIDDEN, INDEX_BITS = 48, 6, 2, 24, 14
-FIT_ROWS, FIT_CHARS, VOCABULARY = 3000, 100_000, 20_000
+DIMENSIONS, NONZERO, WINDOW, HIDDEN, INDEX_BITS = 48, 6, 2, 24, 15
+INDEX_ROWS = 1 << INDEX_BITS
+FIT_ROWS = 3000
+#: Blocks that a table of sums is cut into, and tables that are added at once.
+BLOCKS, FAN = 64, 64
+#: Tokens of which contexts are made at once, and characters that are cut into tokens at once.
+TOKENS, CHARACTERS = 100_000, 1_000_000
 #: Token vectors that a process remembers; the memory is emptied when full.
 REMEMBERED = 150_000
+SPACE = re.compile(r"\s")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SHAPES = ("lower", "title", "upper", "mixed", "digits", "marks")
 
 
 @lru_cache(maxsize=1)
-def index_table() -> np.ndarray:
-    """Sparse vectors of +1 and -1, as many as there are token hashes."""
+def index_signs() -> np.ndarray:
+    """Sparse vectors of +1 and -1, a row for each token hash, and one of zeros for what is no word."""
     rng = np.random.RandomState(11)
-    out = np.zeros((1 << INDEX_BITS, DIMENSIONS), dtype=np.float32)
-    places = np.argsort(rng.rand(*out.shape), axis=1)[:, :NONZERO]
-    np.put_along_axis(out, places, rng.choice((-1.0, 1.0), places.shape).astype(np.float32) / math.sqrt(NONZERO), axis=1)
+    out = np.zeros((INDEX_ROWS + 1, DIMENSIONS), dtype=np.int8)
+    places = np.argsort(rng.rand(INDEX_ROWS, DIMENSIONS), axis=1)[:, :NONZERO]
+    np.put_along_axis(out[:-1], places, rng.choice((-1, 1), places.shape).astype(np.int8), axis=1)
     return out
 
 
 def index_row(token: str) -> int:
-    return zlib.crc32(token.encode()) & ((1 << INDEX_BITS) - 1)
+    return zlib.crc32(token.encode()) & (INDEX_ROWS - 1)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces cut at white space, so that no token is cut."""
+    at = 0
+    while len(text) - at > CHARACTERS and (m := SPACE.search(text, at + CHARACTERS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 def shape(token: str) -> str:
@@ -64,27 +83,78 @@ def shape(token: str) -> str:
     return "digits" if token[0].isdigit() else "marks"
 
 
-def word_vectors(texts: Sequence[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Context vectors of the most frequent words of the texts."""
-    tokens = [[t.lower() for t in TOKEN.findall(text)] for text in texts]
-    counts = Counter(t for row in tokens for t in row)
-    words = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
-    index = index_table()[[index_row(w) for w in words]]
-    out = np.zeros_like(index)
-    gap = [-1] * WINDOW  # no context across documents
-    ids = np.array([i for row in tokens for i in (*(words.get(t, -1) for t in row), *gap)], dtype=np.int32)
-    for at in range(0, len(ids), 100_000):
-        for step in range(1, WINDOW + 1):
-            a, b = ids[at : at + 100_000], ids[at + step : at + step + 100_000]
-            a = a[: len(b)]
-            both = (a >= 0) & (b >= 0)
-            for x, y in ((a[both], b[both]), (b[both], a[both])):
-                if len(x):
-                    order = np.argsort(x, kind="stable")
-                    firsts = np.flatnonzero(np.concatenate([[True], np.diff(x[order]) > 0]))
-                    out[x[order][firsts]] += np.add.reduceat(index[y[order]], firsts, axis=0)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return words, np.where(norm > 0, out / np.maximum(norm, 1e-9), index)
+class Contexts:
+    """Sums of the index vectors of all words' neighbours, in whole numbers."""
+
+    def __init__(self) -> None:
+        self.sums = np.zeros((INDEX_ROWS + 1, DIMENSIONS), dtype=np.int32)
+        self.rows: dict[str, int] = {}
+        self.ids: list[int] = []
+
+    def add(self, text: str) -> None:
+        rows = self.rows
+        for piece in pieces(text.lower()):
+            tokens = TOKEN.findall(piece)
+            if len(rows) > REMEMBERED:
+                rows.clear()
+            new = set(tokens).difference(rows)
+            rows.update(zip(new, map(index_row, new), strict=True))
+            self.ids += map(rows.__getitem__, tokens)
+            if len(piece) < len(text):
+                self.flush()
+        self.ids += [INDEX_ROWS] * WINDOW  # no context across documents
+        if len(self.ids) > TOKENS:
+            self.flush()
+
+    def flush(self) -> None:
+        """Adds what was gathered; this happens between documents, or at fixed places of long ones."""
+        ids = np.array(self.ids, dtype=np.int32)
+        self.ids = []
+        for at in range(0, len(ids), TOKENS):
+            own = ids[max(0, at - WINDOW) : at + TOKENS + WINDOW]
+            signs = index_signs()[own]
+            context = np.zeros(signs.shape, dtype=np.int8)
+            for step in range(1, WINDOW + 1):
+                context[step:] += signs[:-step]
+                context[:-step] += signs[step:]
+            skip = min(at, WINDOW)
+            own, context = own[skip : skip + TOKENS], context[skip : skip + TOKENS]
+            order = np.argsort(own, kind="stable")
+            firsts = np.flatnonzero(np.diff(own[order], prepend=-1))
+            self.sums[own[order][firsts]] += np.add.reduceat(context[order], firsts, axis=0, dtype=np.int32)
+
+
+TABLES = "block int, part bigint, sums binary"
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The vectors of all word rows, from all documents."""
+    scratch = Scratch(docs.sparkSession, "quality")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Contexts()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                got.add(text)
+        got.flush()
+        cut = [x.tobytes() for x in np.split(got.sums[:-1], BLOCKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int64()), pa.array(cut, pa.binary())], ["block", "part", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(b, np.int32) for b in table.column("sums").to_pylist()], axis=0, dtype=np.int32)
+        return pa.table({"block": table.column("block").slice(0, 1), "part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    found = scratch.keep(docs.where(F.length("text") > 0).select("text").mapInArrow(tables, TABLES))
+    last = found.agg(F.max("part")).first()[0]
+    while last is not None and last > 0:
+        found = scratch.keep(found.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(added, TABLES))
+        last //= FAN
+    rows = {r.block: np.frombuffer(r.sums, np.int32) for r in found.collect()}  # one table of fixed size
+    signs = index_signs()[:-1].astype(np.float32)
+    sums = np.concatenate([rows[i] for i in range(BLOCKS)]).reshape(signs.shape).astype(np.float32) if rows else np.zeros_like(signs)
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    scratch.drop_all()
+    return np.where(norm > 0, sums / np.maximum(norm, 1e-9), signs / math.sqrt(NONZERO)).astype(np.float32)
 
 
 class Pooling:
@@ -92,8 +162,8 @@ class Pooling:
 
     width = 2 * DIMENSIONS + 2 * len(SHAPES) + 3
 
-    def __init__(self, words: dict[str, int], vectors: np.ndarray):
-        self.words, self.vectors = words, vectors
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
         self.forget()
 
     def forget(self) -> None:
@@ -104,15 +174,15 @@ class Pooling:
         i = len(self.rows)
         if i == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        low = token.lower()
-        at = self.words.get(low)
-        self.matrix[i, :DIMENSIONS] = index_table()[index_row(low)] if at is None else self.vectors[at]
+        self.matrix[i, :DIMENSIONS] = self.vectors[index_row(token.lower())]
         self.matrix[i, DIMENSIONS + SHAPES.index(shape(token))] = 1
         self.rows[token] = i
         return i
 
     def pool(self, text: str) -> np.ndarray:
-        counts = Counter(TOKEN.findall(text))
+        counts: Counter = Counter()
+        for piece in pieces(text):
+            counts.update(TOKEN.findall(piece))
         if not counts:
             return np.zeros(self.width, dtype=np.float32)
         if len(self.rows) + len(counts) > REMEMBERED:
@@ -186,7 +256,6 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 @dataclass
 class Classifier:
-    words: dict[str, int]
     vectors: np.ndarray
     network: Network | None
 
@@ -199,23 +268,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     """Fits on at most ``rows`` labelled documents, those of the smallest hash that aren't held out."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = least_hashes(each, "doc_id", rows, usable.count())
+    chosen = least_hashes(each, "doc_id", rows, each.count())
     marks = {r.doc_id: float(r.quality >= 1) for r in chosen.collect()}
-    if not marks:
-        return Classifier({}, np.zeros((0, DIMENSIONS), np.float32), None)
+    if len(set(marks.values())) < 2:
+        return Classifier(np.zeros((INDEX_ROWS, DIMENSIONS), np.float32), None)
+    vectors = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooling = Pooling(shared.value)
+        for batch in batches:
+            x = [pooling.pool(t).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
+
     wanted = docs.sparkSession.createDataFrame([(k,) for k in marks], "wanted bigint")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.where(F.length(text) <= FIT_CHARS).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").select("doc_id", text.alias("text")).collect()
-    found = sorted({r.doc_id: r.text for r in found}.items(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    words, vectors = word_vectors([t for _, t in found])
-    pooling = Pooling(words, vectors)
-    x = np.array([pooling.pool(t) for _, t in found], dtype=np.float64).reshape(-1, Pooling.width)
-    return Classifier(words, vectors, train(x, np.array([marks[i] for i, _ in found])))
+    labelled = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    found = labelled.mapInArrow(pooled, "doc_id bigint, x array<float>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    x = np.array([r.x for r in found], dtype=np.float64).reshape(-1, Pooling.width)
+    return Classifier(vectors, train(x, np.array([marks[r.doc_id] for r in found])))
 
 
 def scored(docs: DataFrame, classifier: Classifier, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id and score of each document, and its columns named by ``keep``."""
-    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), *keep)
+    """doc_id and score of each document, and its columns named by ``keep`` (a column score of its own gives way)."""
+    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), *(c for c in keep if c not in ("doc_id", "_text", "score")))
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     schema = kept.drop("_text")
     names = [*schema.columns, "score"]
@@ -223,7 +299,7 @@ def scored(docs: DataFrame, classifier: Classifier, keep: Sequence[str] = ()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = shared.value
-        pooling = Pooling(got.words, got.vectors)
+        pooling = Pooling(got.vectors)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if got.network is None or not texts:
@@ -251,7 +327,7 @@ def keep_good(docs: DataFrame, classifier: Classifier, at: float = 0.5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = shared.value
-        pooling = Pooling(got.words, got.vectors)
+        pooling = Pooling(got.vectors)
         for batch in batches:
             if got.network is not None and batch.num_rows:
                 x = np.array([pooling.pool(t or "") for t in batch.column(1).to_pylist()], dtype=np.float64)
