@@ -47,6 +47,8 @@ BITS_APART, INLIERS, NEAR = 20, 7, 3.0
 BLOCK, IMAGES, COMPARED = 1024, 128, 1_000_000
 #: Pixels of pictures of one size that are described at once.
 PIXELS = 300_000
+#: Pictures that are drawn at once.
+DRAWN = 128
 _rng = np.random.RandomState(77)
 PROJECTION = _rng.normal(0, 1, (64, CELLS * CELLS))
 PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
@@ -416,11 +418,12 @@ def render(vectors: DataFrame, copies: bool = False, every: int = 100) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            vectors = batch.column(1).to_pylist()
-            alike = {w: [i for i, v in enumerate(vectors) if len(v) == w] for w in set(map(len, vectors))}
-            drawn = {i: g for at in alike.values() for i, g in zip(at, draw(np.array([vectors[i] for i in at])), strict=True)}
-            images = [to_pgm(edit(drawn[i], n) if copies else drawn[i]) for i, n in enumerate(ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["id", "image"])
+            for at in range(0, batch.num_rows, DRAWN):
+                part = batch.slice(at, DRAWN)
+                vectors = part.column(1).to_pylist()
+                alike = {w: [i for i, v in enumerate(vectors) if len(v) == w] for w in set(map(len, vectors))}
+                drawn = {i: g for of in alike.values() for i, g in zip(of, draw(np.array([vectors[i] for i in of])), strict=True)}
+                images = [to_pgm(edit(drawn[i], n) if copies else drawn[i]) for i, n in enumerate(part.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(images, pa.binary())], ["id", "image"])
 
     return rows.mapInArrow(run, "id bigint, image binary")
