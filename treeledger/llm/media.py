@@ -42,7 +42,7 @@ from treeledger.llm.near_dedup import components
 SIDE, CELLS = 96, 16
 LEVELS, RADIUS, TESTS, TURNS, APART = (1.0, 0.8, 0.64, 0.5), 10, 128, 32, 3
 MARGIN = RADIUS + 4
-BITS_APART, INLIERS, NEAR = 20, 7, 3.0
+BITS_APART, INLIERS, NEAR = 20, 5, 3.0
 #: Queries of a block, images looked up in it at once, and pairs of matches that are compared at once.
 BLOCK, IMAGES, COMPARED = 1024, 128, 1_000_000
 #: Pixels of pictures of one size that are described at once.
@@ -51,7 +51,9 @@ PIXELS = 300_000
 DRAWN = 128
 _rng = np.random.RandomState(77)
 PROJECTION = _rng.normal(0, 1, (64, CELLS * CELLS))
-PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
+#: The two points of each test, x and y, spread evenly over the disc: near ones would see the same edge, and unlike corners look alike.
+_a, _r = _rng.uniform(0, 2 * np.pi, (TESTS, 2)), RADIUS * 0.98 * _rng.uniform(0, 1, (TESTS, 2)) ** 0.5
+PATTERN = np.stack([_r[:, 0] * np.cos(_a[:, 0]), _r[:, 0] * np.sin(_a[:, 0]), _r[:, 1] * np.cos(_a[:, 1]), _r[:, 1] * np.sin(_a[:, 1])], axis=1)
 _a = np.arange(TURNS) * 2 * np.pi / TURNS
 _c, _s = np.cos(_a)[:, None], np.sin(_a)[:, None]
 #: The pattern's points (y and x, of both sides) for each turn.
