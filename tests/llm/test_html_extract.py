@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from treeledger.llm import html_extract as he
@@ -81,3 +83,61 @@ def test_marked_articles_are_kept_among_many_words():
     html = f'<div class="{UTILITIES}"><p>beside, of some length</p></div><div class="{UTILITIES} story"><p>the text, of some length</p></div>'
     assert both(html) == "the text, of some length"
     assert len(he.attribute_words(f'class="{" ".join(chr(97 + i // 26) + chr(97 + i % 26) for i in range(99))}"')) == he.MOST_WORDS
+
+
+def of_host(pages):
+    host = None
+    for p in pages:
+        one = he.wrapper_of(he.shallow(he.parse(p)))
+        host = he.merge(host, one) if host else one
+    rules = he.rules_of(host)
+    return [he.extract(p, rules) for p in pages]
+
+
+def test_constants_of_a_host_are_its_template():
+    fixed, body = "<p>Written by the staff of this site.</p>", "<p>Page {0} says {0}.</p><p>And {0} more.</p>"
+    pages = [f"<article><h1>T{i}</h1>{body.format(i)}{fixed}</article>" for i in range(30)]
+    assert of_host(pages) == [f"T{i}\nPage {i} says {i}.\nAnd {i} more." for i in range(30)]
+    # A host whose pages are all the same has nothing but constants; of few pages no text is known to be one.
+    assert of_host(pages[:1] * 9) == ["T0\nPage 0 says 0.\nAnd 0 more.\nWritten by the staff of this site."] * 9
+    assert of_host(pages[:3])[2].endswith("site.")
+
+
+def test_words_are_only_a_prior():
+    text = "a paragraph that is long enough to be the most of the page. " * 4
+    assert both(f'<nav>n</nav><div class="post text-side-by-side"><article><p>{text}</p></article></div>') == text.strip()
+    for word in ("search", "form", "related"):
+        assert text.strip() in both(f'<article><h1>T</h1><div class="{word}-x"><p>{text}</p></div></article>')
+    assert both(f'<article><p>short</p><section class="comments"><p>{text}</p></section></article>') == "short"
+    assert both(f'<article><p>short</p></article><div class="sidebar"><p>{text}</p></div>') == "short"
+
+
+@pytest.mark.parametrize("depth", [59, 60, 61, 100, 399, 401, 3000])
+def test_depth_changes_nothing(depth):
+    page = "<article><p>start</p>" + "<div>" * depth + "<nav><ul><li>menu</li></ul></nav><p>deep text</p><aside><p>beside</p></aside><p>end</p>" + "</div>" * depth + "<p>after</p></article>"
+    assert both(page) == "start\ndeep text\nend\nafter"
+
+
+def test_random_templates_against_their_known_texts():
+    """Templates with optional and repeated groups: what went into the slots has to come out."""
+    rng = random.Random(5)
+    for _ in range(30):
+        tags = [rng.choice(["p", "h2", "blockquote", "ul", "div"]) for _ in range(rng.randint(2, 5))]
+        asides = [rng.choice(["", "", '<div class="promo"><p>buy</p></div>', "<nav><a href=/>x</a></nav>", "<form><input><button>go</button></form>"]) for _ in tags]
+        pages, want = [], []
+        for i in range(8):
+            made, said = "", []
+            for j, (tag, aside) in enumerate(zip(tags, asides, strict=True)):
+                for k in range(rng.randint(0, 3) if j else 1):
+                    text = f"slot {i} {j} {k} of this page"
+                    said.append(text)
+                    made += f"<ul><li>{text}</li></ul>" if tag == "ul" else f"<div><p>{text}</p></div>" if tag == "div" else f"<{tag}>{text}</{tag}>"
+                made += aside
+            pages.append(f"<html><body><header>site</header><article>{made}</article><footer>f</footer></body></html>")
+            want.append("\n".join(said))
+        assert of_host(pages) == want
+
+
+def test_long_rows_of_children_align_soon():
+    rows = ["".join(f"<{t}>{i}</{t}>" for i, t in enumerate(rng_tags)) for rng_tags in ([random.Random(s).choice(["p", "h2", "h3", "div", "pre"]) for _ in range(3000)] for s in (1, 1, 1))]
+    assert len(of_host([f"<article>{r}</article>" for r in rows])[0].split("\n")) == 3000

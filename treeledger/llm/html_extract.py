@@ -5,11 +5,15 @@ A page is parsed, tolerantly, to a tree of block elements with text slots. Runs
 aligned one after another: children that only one side has become optional, alike ones are
 merged, and texts that differ become slots. What comes out is a union-free expression, a tree of
 elements, optional and repeated groups, constants and slots: the host's wrapper. It carries for
-each node how many pages and characters, and how many characters of links, it has taken in.
+each node how many pages and characters, and how many characters of links, it has taken in, and the texts that were the same
+on all of these pages. (A row of children is the token stream of its level: opening and closing tokens always pair up in a parsed page, so
+levels are aligned one by one.)
 
 From the wrapper the rules of the host are read: which paths hold the article (article elements,
 main elements, and the node that holds most unlinked text outside of both), and which paths in it
-are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. Every page of the
+are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. What class words say is only a prior: a node that
+holds most of what the host has to say, in or around its articles, is no sidebar, whatever its words. Constants of ``CONSTANT_PAGES`` or
+more pages belong to the template, so they are left out of an article that has slots as well. Every page of the
 host is then read by these rules: by the first of the three in which it has text itself, so that hosts can mix
 templates. Where a page has none of them, its own tree gives the rules.
 
@@ -30,6 +34,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,8 +48,10 @@ from treeledger.llm.url_filter import url_parts
 #: Bytes of all rules together that may be broadcast.
 BROADCAST_BYTES = 8_000_000
 SALTS, PERIODS = 64, (1, 2, 3)
-#: Open elements of a page; beyond, start tags only end a block. Paths and wrappers go less deep.
-NESTED, DEEPEST = 400, 60
+#: Paths and wrappers go so deep; what is nested deeper belongs to the element at that depth, but for what is aside.
+DEEPEST = 60
+#: Pages that a text has to be the same on, all that have its element, to be the template's; and the share of a host's text that no aside has.
+CONSTANT_PAGES, MOST_ASIDE = 5, 0.7
 
 # Elements by how they take part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -116,6 +123,7 @@ def parse(html: str | None) -> Node:
     """The tree of block elements of a page."""
     root = Node("#page")
     stack: list[Node] = [root]
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = depth_a = at = 0
 
@@ -128,9 +136,12 @@ def parse(html: str | None) -> Node:
         text.clear()
         linked = 0
 
-    def close(names: set[str], holders: set[str]) -> None:
+    def close(names: frozenset[str] | set[str], holders: set[str]) -> None:
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
+                opened.subtract(n.tag for n in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in holders:
@@ -156,10 +167,12 @@ def parse(html: str | None) -> Node:
         if m[1]:
             if tag == "a":
                 depth_a = 0
-            elif tag in BLOCKS and any(n.tag == tag for n in stack[1:]):
+            elif tag in BLOCKS and opened[tag]:
                 flush()
-                while stack.pop().tag != tag:
-                    pass
+                while True:
+                    opened[last_tag := stack.pop().tag] -= 1
+                    if last_tag == tag:
+                        break
             elif tag in BLOCKS:
                 flush()
             continue
@@ -184,12 +197,11 @@ def parse(html: str | None) -> Node:
                 close(HEADINGS, {"td", "th", "li", "table", "article", "section", "div", "blockquote", "body"})
         if tag in ("article", "main", "body", "footer"):
             close({"nav"}, {"body"})
-        if tag in VOID or tag in ("html", "head") and any(n.tag == tag for n in stack):
+        if tag in VOID or tag in ("html", "head") and opened[tag]:
             continue
         if tag == "body":
             close({"head"}, {"html"})
-        if len(stack) > NESTED:
-            continue
+        opened[tag] += 1
         node = Node(tag, attribute_words(m[3]))
         stack[-1].items.append(node)
         stack.append(node)
@@ -198,8 +210,8 @@ def parse(html: str | None) -> Node:
 
 
 # A wrapper node is [key, pages, characters, linked characters, children, text]; a child is [node, optional,
-# repeated]; text is None, the hash of a constant, or SLOT. A repeated group of several has the key "(a|b)".
-SLOT = "*"
+# repeated]; text is None, or says whether it is a slot (1) and then the hashes of what was the same on all pages. A
+# repeated group of several has the key "(a|b)".
 
 
 def text_hash(said: str) -> str:
@@ -210,7 +222,7 @@ def wrapper_of(node: Node) -> list:
     """The wrapper of one page."""
     texts = [x for x in node.items if isinstance(x, Text)]
     children = [[wrapper_of(x), False, False] for x in node.items if isinstance(x, Node)]
-    text = None if not texts else text_hash("\n".join(texts))
+    text = [0, *sorted(set(map(text_hash, texts)))] if texts else None
     return [node.key, 1, sum(map(len, texts)), sum(t.linked for t in texts), fold(children), text]
 
 
@@ -257,16 +269,29 @@ def merge(a: list, b: list, pages: bool = True) -> list:
         left = fold_like(left, x)
     for x in [c for c in left if c[0][0][0] == "(" and c[0][0] not in {d[0][0] for d in right}]:
         right = fold_like(right, x)
-    text = a[5] if a[5] == b[5] else SLOT
+    text = a[5] if a[5] == b[5] else merged_text(a[5] or [1], b[5] or [1], pages)
     return [a[0], a[1] + b[1] if pages else max(a[1], b[1]), a[2] + b[2], a[3] + b[3], align(left, right, pages), text]
 
 
+def merged_text(a: list, b: list, pages: bool) -> list:
+    """A slot, with what both pages have; or, of alike siblings on one page, with what any has."""
+    return [1, *(sorted(set(a[1:]) & set(b[1:])) if pages else sorted({*a[1:], *b[1:]}))]
+
+
 def align(left: list, right: list, pages: bool) -> list:
     """Children aligned by their longest common row of keys; what has no partner is optional."""
-    n, m = len(left), len(right)
     a, b = [c[0][0] for c in left], [c[0][0] for c in right]
+    both = lambda x, y: [merge(x[0], y[0], pages), x[1] or y[1], x[2] or y[2]]
     if a == b:
-        return [[merge(x[0], y[0], pages), x[1] or y[1], x[2] or y[2]] for x, y in zip(left, right, strict=True)]
+        return list(map(both, left, right))
+    # A longest common row can always begin and end with what both have there.
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    tail = next((i for i, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1], strict=False)) if x != y), min(len(a), len(b)) - head)
+    front = list(map(both, left[:head], right[:head]))
+    back = list(map(both, left[len(left) - tail :], right[len(right) - tail :]))
+    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    n, m = len(left), len(right)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -275,8 +300,7 @@ def align(left: list, right: list, pages: bool) -> list:
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
-            x, y = left[i], right[j]
-            out.append([merge(x[0], y[0], pages), x[1] or y[1], x[2] or y[2]])
+            out.append(both(left[i], right[j]))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([left[i][0], True, left[i][2]])
@@ -284,44 +308,69 @@ def align(left: list, right: list, pages: bool) -> list:
         else:
             out.append([right[j][0], True, right[j][2]])
             j += 1
-    return fold(out)
+    return fold([*front, *out, *back])
 
 
 def expression(wrapper: list, optional: bool = False, repeated: bool = False) -> str:
     """The wrapper as a union-free regular expression."""
     key = wrapper[0]
-    inner = "".join(([] if wrapper[5] is None else ["#text" if wrapper[5] == SLOT else "#const"]) + [expression(*c) for c in wrapper[4]])
+    inner = "".join(([] if wrapper[5] is None else ["#text" if wrapper[5][0] else "#const"]) + [expression(*c) for c in wrapper[4]])
     said = inner if key[0] == "(" else f"<{key}>{inner}</>"
     return f"({said}){'+' if repeated else ''}{'?' if optional else ''}" if optional or repeated else said
 
 
 def is_aside(key: str) -> bool:
-    """Whether a key stands for something that is never part of an article."""
-    tag, *words = key.split(".")
-    return tag in ASIDE_TAGS or "hidden" in words or any(w in ASIDE_WORDS or w.rstrip("s") in ASIDE_WORDS for w in words) and tag not in ("html", "body", "#page", "article", "main")
+    """Whether a key speaks for something that is never part of an article."""
+    tag = key.split(".")[0]
+    return tag in ASIDE_TAGS or never(key) or has_aside_words(key) and tag not in ("html", "body", "#page", "article", "main")
+
+
+def has_aside_words(key: str) -> bool:
+    return any(w in ASIDE_WORDS or w.rstrip("s") in ASIDE_WORDS for w in key.split(".")[1:])
+
+
+def never(key: str) -> bool:
+    """Whether a key stands for what no amount of text makes an article: what is hidden, and reader comments."""
+    return any(w == "hidden" or w.startswith(COMMENT_STARTS) for w in key.split(".")[1:])
 
 
-def is_comment(key: str) -> bool:
-    return any(w.startswith(COMMENT_STARTS) for w in key.split(".")[1:])
+def has_article(node: list) -> bool:
+    return any(c[0][0].split(".")[0] in ("article", "main") or has_article(c[0]) for c in node[4])
 
 
 def rules_of(wrapper: list) -> dict:
-    """Paths of the article, and paths inside it that aren't part of it.
+    """Paths of the article, paths inside it that aren't part of it, and constants of paths.
 
     ``main`` has all article paths, then all main paths, if there are any. ``container`` is the path that holds the
     most of what is outside of both; ``mass`` is the number of unlinked characters outside of what is aside.
     """
     nodes: list[tuple[str, list, bool]] = []
 
+    def said(node: list) -> int:
+        """Unlinked characters below a node, but for what its element alone puts aside."""
+        if node[0].split(".")[0] in ASIDE_TAGS or never(node[0]):
+            return 0
+        return node[2] - node[3] + sum(said(c[0]) for c in node[4])
+
+    all_said = said(wrapper)
+
+    def put_aside(node: list, in_article: bool) -> bool:
+        key = node[0]
+        tag, *words = key.split(".")
+        if tag in ASIDE_TAGS or never(key):
+            return True
+        if not (is_aside(key) or not in_article and (tag == "header" or "header" in words)):
+            return False
+        around = in_article or bool(MAIN_WORDS & set(words)) or has_article(node)
+        return not (around and said(node) >= MOST_ASIDE * all_said > 0)
+
     def walk(node: list, path: str, aside: bool, in_article: bool) -> tuple[int, int]:
         """Unlinked characters below a node outside of what is aside; and those that are in no article or main element either."""
         key = node[0]
         if key[0] != "(":
             path = f"{path}/{key}"
-            tag = key.split(".")[0]
-            own = is_aside(key) or is_comment(key) or tag == "header" and not in_article or "header" in key.split(".")[1:] and not in_article
-            aside = aside or own
-            in_article = in_article or tag in ("article", "main")
+            aside = aside or put_aside(node, in_article)
+            in_article = in_article or key.split(".")[0] in ("article", "main")
         at = len(nodes)
         nodes.append((path, node, aside))
         mass = 0 if aside else node[2] - node[3]
@@ -349,35 +398,41 @@ def rules_of(wrapper: list) -> dict:
         container = max((len(path), path) for i, path, node, aside in real if not aside and rests[i] >= 0.7 * total and node[0].split(".")[0] not in PARTS)[1]
     main = [paths for paths in (named("article"), named("main")) if paths]
     drop = [path for _, path, _, aside in real if aside]
-    return {"main": main, "container": container, "drop": sorted(set(drop)), "mass": masses[0]}
+    constant: dict[str, list[str]] = {}
+    for _, path, node, aside in real:
+        if not aside and node[1] >= CONSTANT_PAGES and node[5] and len(node[5]) > 1:
+            constant.setdefault(path, []).extend(node[5][1:])
+    return {"main": main, "container": container, "drop": sorted(set(drop)), "mass": masses[0], "constant": constant}
 
 
-def read(page: Node, main: list[str], drop: list[str]) -> str:
-    """The text below some paths of a page: its blocks joined by line breaks."""
+def read(page: Node, main: list[str], drop: list[str], constant: dict[str, list[str]]) -> str:
+    """The text below some paths of a page: its blocks joined by line breaks. Where all of it is constant, it is the text."""
     inner, outer = set(main), set(drop)
     out: list[str] = []
+    fixed: list[bool] = []
     stack = [(page, "", False)]
     while stack:  # what is still to be read
         item, path, inside = stack.pop()
         if isinstance(item, Text):
             if inside:
                 out.append(item)
+                fixed.append(path in constant and text_hash(item) in constant[path])
             continue
         path = f"{path}/{item.key}"
         if path in outer:
             continue
         inside = inside or path in inner
         stack.extend((x, path, inside) for x in reversed(item.items))
-    return "\n".join(out)
+    return "\n".join(out if all(fixed) else [x for x, f in zip(out, fixed, strict=True) if not f])
 
 
 def extract(html: str | None, rules: dict) -> str:
     """The text of a page by the rules of its host, or by its own where it has no text in any path that they name."""
     page = shallow(parse(html))
     for paths in rules["main"]:
-        if text := read(page, paths, rules["drop"]):
+        if text := read(page, paths, rules["drop"], rules["constant"]):
             return text
-    text = read(page, [rules["container"]], rules["drop"]) if rules["container"] else ""
+    text = read(page, [rules["container"]], rules["drop"], rules["constant"]) if rules["container"] else ""
     if text and not rules["main"]:
         return text
     own = rules_of(wrapper_of(page))
@@ -385,7 +440,7 @@ def extract(html: str | None, rules: dict) -> str:
     if text and len(text) >= 0.3 * own["mass"]:
         return text
     for paths in [*own["main"], *([[own["container"]]] if own["container"] else [])]:
-        if text := read(page, paths, own["drop"]):
+        if text := read(page, paths, own["drop"], {}):
             return text
     return ""
 
@@ -416,17 +471,24 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def shallow(node: Node, depth: int = 0) -> Node:
-    """The tree with what is nested deeper than ``DEEPEST`` lifted to that depth, so that wrappers can be merged by recursion."""
+    """The tree with what is nested deeper than ``DEEPEST`` lifted to that depth, so that wrappers can be merged by recursion.
+
+    What is aside there stays an element, so that its text is not taken in.
+    """
     if depth < DEEPEST:
         return Node(node.tag, node.words, [x if isinstance(x, Text) else shallow(x, depth + 1) for x in node.items])
-    flat, stack = [], list(reversed(node.items))
+    top = Node(node.tag, node.words)
+    stack = [(x, top) for x in reversed(node.items)]
     while stack:
-        x = stack.pop()
+        x, under = stack.pop()
         if isinstance(x, Text):
-            flat.append(x)
-        else:
-            stack.extend(reversed(x.items))
-    return Node(node.tag, node.words, flat)
+            under.items.append(x)
+            continue
+        if under is top and (is_aside(x.key) or x.tag == "header"):
+            under = Node(x.tag, x.words)
+            top.items.append(under)
+        stack.extend((y, under) for y in reversed(x.items))
+    return top
 
 
 def extract_table(pages: DataFrame) -> DataFrame:
