@@ -1,4 +1,5 @@
 import collections
+import os
 import random
 import re
 
@@ -84,7 +85,42 @@ def test_near_copies_of_a_common_base_in_one_hot_bucket(spark):
     assert got == brute(rows)
 
 
-def test_blocks_compare_whole_buckets(monkeypatch):
+def apart_rows():
+    """Many texts that share half of their words, and so hot bands, without being near; among them pairs that are, away from the pivots."""
+    random.seed(12)
+    words = [f"w{i}" for i in range(5000)]
+    common = [random.choice(words) for _ in range(70)]
+    rows = []
+    for i in range(120):
+        own = common + [random.choice(words) for _ in range(40)]
+        rows.append((2 * i, " ".join(own)))
+        if i % 3 == 0:
+            own[-1] = "other"
+            rows.append((2 * i + 1, " ".join(own)))
+    return rows
+
+
+def test_hot_buckets_that_stay_apart_equal_brute_force(spark, monkeypatch):
+    rows = apart_rows()
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) == 120
+    for block, hot in ((1024, 512), (8, 4), (3, 2)):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        monkeypatch.setattr(nd, "HOT", hot)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, rows)} == want
+
+
+def test_nothing_but_the_result_is_left(spark):
+    from treeledger.llm import common
+
+    got = nd.deduplicate(spark.createDataFrame([(i, "a b c d e", "en", "s", 1) for i in range(5)], DOCS))
+    folder = got._scratch_path.rsplit("/", 1)[0]
+    assert os.listdir(folder) == [got._scratch_path.rsplit("/", 1)[1]] and got.count() == 5
+    common.clean_up(spark)
+    assert not os.path.exists(folder)
+
+
+def test_blocks_compare_whole_buckets():
     random.seed(2)
     sets = [np.array(sorted(random.sample(range(500), random.randint(1, 90))), dtype=np.int64) for _ in range(40)]
     common = nd.common_counts(sets[:15], sets[15:])

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: How the folders of written tables begin.
+PREFIX = "treeledger-"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/{PREFIX}{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -61,12 +65,28 @@ class Scratch:
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(frame._scratch_path)
+
+    def drop_but(self, frame: DataFrame) -> None:
+        """Removes all tables but one."""
+        for i in range(1, self.n + 1):
+            if (path := f"{self.root}/{i}") != frame._scratch_path:
+                self._delete(path)
 
     def drop_all(self) -> None:
-        """Removes all tables of the query, when nothing reads them any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        """Removes all tables, when nothing reads them any more."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what this application's queries have left in the shared folder; results that still read it can't be read any more."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{PREFIX}{spark.sparkContext.applicationId}-*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(pattern) or []:
+        files.delete(status.getPath(), True)

@@ -12,13 +12,15 @@
    probability of reaching the threshold falls below ``MISS``. Survivors are checked on the
    full shingle sets.
 5. Components come from rounds of smallest-neighbour labels over the links, in DataFrames.
-6. Buckets of three or more whose members still don't hang together are compared whole, in blocks
+6. Buckets of three or more whose members still don't hang together are compared whole. One of more than ``BLOCK``
+   members is first split by a second band: members that agree on another band as well share a smaller bucket (a pair
+   at 0.8 that shares a band shares no other one once in 10 million). What is still larger is compared in blocks
    of bounded size: a task holds two blocks as bit sets over the shingles that they share and
-   counts common shingles exactly. It puts out only links that join labels, no pairs. So
-   no pair that shares a bucket stays untested, unless its ends hang together already.
+   counts common shingles exactly. It puts out only links that join labels, no pairs.
 
-Equal classes, hot buckets and hot pivots are met by aggregation before the shuffle and by joins
-that adaptive execution can split. Only numbers of rows reach the driver.
+Equal classes are made one by aggregation before the shuffle. Of a hot bucket the members never meet in one task: buckets of more
+than ``hot_size`` members are so few that their ends can be broadcast, and the members are joined with them where they
+are; all others are joined by a shuffle. Only numbers of rows reach the driver.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is kept; rows that
 repeat a doc_id are documents of their own, and are all kept or not by that doc_id; a null
@@ -46,6 +48,8 @@ BATCH, MISS = 32, 1e-6
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 #: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
+#: A bucket is hot with so many members, and with more where such buckets could be more than HOT_BUCKETS.
+HOT, HOT_BUCKETS = 512, 50_000
 
 SKETCH = "doc_id bigint, n bigint, d1 bigint, d2 bigint, minima array<int>"
 SETS = "doc_id bigint, d1 bigint, d2 bigint, shingles array<bigint>"
@@ -213,22 +217,27 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     )
     band = lambda i: F.xxhash64(i, F.slice("minima", i * ROWS + 1, ROWS))
     keyed = reps.select("cls", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high")
-    buckets = scratch.keep(keyed.join(shared, "key"))
+    shared = scratch.keep(keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high"))
+    hot = hot_size(shared)
+    buckets = scratch.keep(join_buckets(keyed, shared, hot))
 
     sets = member_sets(docs, reps, buckets, words, scratch)
     ends = buckets.select(F.explode(F.array(F.array("cls", "low"), F.array("cls", "high"))).alias("e"))
     pairs = scratch.keep(ends.select(F.least(F.col("e")[0], F.col("e")[1]).alias("a"), F.greatest(F.col("e")[0], F.col("e")[1]).alias("b")).where("a < b").distinct())
     links = scratch.keep(verify(pairs, reps, sets, threshold, percent, scratch))
     labels = components(links, scratch)
-    more = scratch.keep(block_links(scratch.keep(apart(buckets, labels)), sets, percent))
+    more = scratch.keep(block_links(scratch.keep(split_buckets(scratch.keep(apart(buckets, labels, hot)), buckets, scratch)), sets, percent))
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
 
     own = sketch.join(classes, named, "left").select("doc_id", "n", "cls")
     found = own.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
     component = F.coalesce("label", "cls", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = scratch.keep(
+        found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    )
+    scratch.drop_but(out)
+    return out
 
 
 def member_sets(docs: DataFrame, reps: DataFrame, buckets: DataFrame, words: int, scratch: Scratch) -> DataFrame:
@@ -252,12 +261,39 @@ def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float,
     return common.where((100 * F.col("i")) >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
-def apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, cls, label of the buckets of three or more whose members don't hang together yet."""
-    rows = buckets.where("size > 2").select("key", "cls").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
-    rows = rows.select("key", "cls", F.coalesce("label", "cls").alias("label"))
-    parted = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return rows.join(parted, "key", "left_semi")
+def hot_size(shared: DataFrame) -> int:
+    """Members above which a bucket is hot; of all buckets' members together, no more than ``HOT_BUCKETS`` buckets can have so many."""
+    members = shared.agg(F.sum("size")).first()[0] or 0
+    return max(HOT, -(-members // HOT_BUCKETS))
+
+
+def join_buckets(rows: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
+    """Rows with what is known of their bucket (key, size and more); rows of other buckets go."""
+    few, many = shared.where(F.col("size") > hot), shared.where(F.col("size") <= hot)
+    cold = rows.join(F.broadcast(few.select("key")), "key", "left_anti")
+    return rows.join(F.broadcast(few), "key").unionByName(cold.join(many, "key"))
+
+
+def apart(buckets: DataFrame, labels: DataFrame, hot: int) -> DataFrame:
+    """key, size, cls, label of the buckets of three or more whose members don't hang together yet."""
+    rows = buckets.where("size > 2").select("key", "size", "cls").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
+    rows = rows.select("key", "size", "cls", F.coalesce("label", "cls").alias("label"))
+    parted = rows.groupBy("key", "size").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "size")
+    return join_buckets(rows.drop("size"), parted, hot).select("key", "size", "cls", "label")
+
+
+def split_buckets(rows: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, cls, label of what is to be compared whole: buckets as they are, those above ``BLOCK`` members by a second band."""
+    small = rows.where(F.col("size") <= BLOCK).select("key", "cls", "label")
+    large = scratch.keep(rows.where(F.col("size") > BLOCK))
+    if not large.limit(1).count():
+        return small
+    # All other buckets of the members: as many rows as they have bands, and no more than all buckets have members.
+    other = buckets.select("cls", F.col("key").alias("second"))
+    pairs = large.join(other, "cls").where("key != second").select(F.xxhash64("key", "second").alias("key"), "cls", "label")
+    pairs = scratch.keep(pairs)
+    parted = scratch.keep(pairs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"))
+    return small.union(join_buckets(pairs, parted, hot_size(parted)).select("key", "cls", "label"))
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
