@@ -12,7 +12,9 @@
    probability of reaching the threshold falls below ``MISS``. Survivors are checked on the
    full shingle sets.
 5. Components come from rounds of smallest-neighbour labels over the links, in DataFrames.
-6. Buckets of three or more whose members still don't hang together are compared whole. One of more than ``BLOCK``
+6. Buckets of more than ``BLOCK`` members that don't hang together by then get up to ``ROUNDS`` more pivots, taken by a hash, so
+   that the members of a large group of near copies find each other at a cost in proportion to their number.
+7. Buckets of three or more whose members still don't hang together are compared whole. One of more than ``BLOCK``
    members is first split by a second band: members that agree on another band as well share a smaller bucket (a pair
    at 0.8 that shares a band shares no other one once in 10 million). What is still larger is compared in blocks
    of bounded size: a task holds two blocks as bit sets over the shingles that they share and
@@ -31,7 +33,7 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +52,7 @@ BLOCK, BLOCK_SHINGLES = 1024, 400_000
 BROADCAST_IDS = 250_000
 #: A bucket is hot with so many members, and with more where such buckets could be more than HOT_BUCKETS.
 HOT, HOT_BUCKETS = 512, 50_000
+ROUNDS = 4
 
 SKETCH = "doc_id bigint, n bigint, d1 bigint, d2 bigint, minima array<int>"
 SETS = "doc_id bigint, d1 bigint, d2 bigint, shingles array<bigint>"
@@ -211,10 +214,10 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     scratch = Scratch(docs.sparkSession, "near-dedup")
     sketch = scratch.keep(sketches(docs, words))
     named = ["n", "d1", "d2"]
-    classes = sketch.where("n > 0").groupBy(named).agg(F.min("doc_id").alias("cls"))
-    reps = scratch.keep(
-        sketch.where("n > 0").join(classes, named).where(F.col("doc_id") == F.col("cls")).dropDuplicates(named).select("cls", *named, "minima")
-    )
+    classes = scratch.keep(sketch.where("n > 0").groupBy(named).agg(F.min("doc_id").alias("cls"), F.count("*").alias("size")))
+    copied = hot_size(classes)
+    own = join_buckets(sketch.where("n > 0"), classes, copied, named)
+    reps = scratch.keep(own.where(F.col("doc_id") == F.col("cls")).dropDuplicates(named).select("cls", *named, "minima"))
     band = lambda i: F.xxhash64(i, F.slice("minima", i * ROWS + 1, ROWS))
     keyed = reps.select("cls", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
     shared = scratch.keep(keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high"))
@@ -226,12 +229,21 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     pairs = scratch.keep(ends.select(F.least(F.col("e")[0], F.col("e")[1]).alias("a"), F.greatest(F.col("e")[0], F.col("e")[1]).alias("b")).where("a < b").distinct())
     links = scratch.keep(verify(pairs, reps, sets, threshold, percent, scratch))
     labels = components(links, scratch)
+    for seed in range(ROUNDS):
+        large = scratch.keep(apart(buckets.where(F.col("size") > BLOCK), labels, hot))
+        if not large.limit(1).count():
+            break
+        found = scratch.keep(verify(scratch.keep(new_pivots(large, seed, hot)), reps, sets, threshold, percent, scratch))
+        if not found.limit(1).count():
+            break
+        links = scratch.keep(links.union(found))
+        labels = components(links, scratch)
     more = scratch.keep(block_links(scratch.keep(split_buckets(scratch.keep(apart(buckets, labels, hot)), buckets, scratch)), sets, percent))
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
 
-    own = sketch.join(classes, named, "left").select("doc_id", "n", "cls")
-    found = own.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
+    named_rows = own.select("doc_id", "n", "cls").union(sketch.where("n = 0").select("doc_id", "n", F.lit(None).cast("bigint")))
+    found = named_rows.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
     component = F.coalesce("label", "cls", "doc_id")
     out = scratch.keep(
         found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
@@ -267,11 +279,19 @@ def hot_size(shared: DataFrame) -> int:
     return max(HOT, -(-members // HOT_BUCKETS))
 
 
-def join_buckets(rows: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
-    """Rows with what is known of their bucket (key, size and more); rows of other buckets go."""
+def join_buckets(rows: DataFrame, shared: DataFrame, hot: int, on: Sequence[str] = ("key",)) -> DataFrame:
+    """Rows with what is known of their bucket (its key, size and more); rows of other buckets go."""
     few, many = shared.where(F.col("size") > hot), shared.where(F.col("size") <= hot)
-    cold = rows.join(F.broadcast(few.select("key")), "key", "left_anti")
-    return rows.join(F.broadcast(few), "key").unionByName(cold.join(many, "key"))
+    cold = rows.join(F.broadcast(few.select(*on)), list(on), "left_anti")
+    return rows.join(F.broadcast(few), list(on)).unionByName(cold.join(many, list(on)))
+
+
+def new_pivots(large: DataFrame, seed: int, hot: int) -> DataFrame:
+    """Pairs a < b of one pivot of each bucket and the members that don't hang together with it."""
+    order = F.xxhash64("cls", F.lit(seed))  # of buckets with the same members, the same one
+    pivots = large.groupBy("key", "size").agg(F.min_by(F.struct("cls", "label"), order).alias("pivot"))
+    pairs = join_buckets(large.drop("size"), pivots, hot).where(F.col("label") != F.col("pivot.label"))
+    return pairs.select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
 
 
 def apart(buckets: DataFrame, labels: DataFrame, hot: int) -> DataFrame:
