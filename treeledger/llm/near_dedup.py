@@ -14,11 +14,13 @@
 5. Components come from rounds of smallest-neighbour labels over the links, in DataFrames.
 6. Buckets of more than ``BLOCK`` members that don't hang together by then get up to ``ROUNDS`` more pivots, taken by a hash, so
    that the members of a large group of near copies find each other at a cost in proportion to their number.
-7. Buckets of three or more whose members still don't hang together are compared whole. One of more than ``BLOCK``
-   members is first split by a second band: members that agree on another band as well share a smaller bucket (a pair
-   at 0.8 that shares a band shares no other one once in 10 million). What is still larger is compared in blocks
+7. Buckets of three or more whose members still don't hang together are compared whole. The members of larger ones than ``BLOCK``,
+   as of texts that share a long passage, first go to smaller buckets by the prefixes of their shingles: the shingles in the
+   order of their number among these members, rare ones first; two sets at the threshold always share one of the first
+   ``n - threshold * n + 1`` of each. That is exact, and rows are in proportion to the texts. What is still larger is compared in blocks
    of bounded size: a task holds two blocks as bit sets over the shingles that they share and
-   counts common shingles exactly. It puts out only links that join labels, no pairs.
+   counts common shingles exactly. It puts out only links that join labels, no pairs. So no pair that shares a
+   bucket stays untested, unless its ends hang together already.
 
 Equal classes are made one by aggregation before the shuffle. Of a hot bucket the members never meet in one task: buckets of more
 than ``hot_size`` members are so few that their ends can be broadcast, and the members are joined with them where they
@@ -238,7 +240,7 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
             break
         links = scratch.keep(links.union(found))
         labels = components(links, scratch)
-    more = scratch.keep(block_links(scratch.keep(split_buckets(scratch.keep(apart(buckets, labels, hot)), buckets, scratch)), sets, percent))
+    more = scratch.keep(block_links(scratch.keep(split_buckets(scratch.keep(apart(buckets, labels, hot)), sets, percent, scratch)), sets, percent))
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
 
@@ -302,18 +304,20 @@ def apart(buckets: DataFrame, labels: DataFrame, hot: int) -> DataFrame:
     return join_buckets(rows.drop("size"), parted, hot).select("key", "size", "cls", "label")
 
 
-def split_buckets(rows: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, cls, label of what is to be compared whole: buckets as they are, those above ``BLOCK`` members by a second band."""
+def split_buckets(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """key, cls, label of what is to be compared whole: buckets as they are, and of those above ``BLOCK`` members the buckets of their prefixes."""
     small = rows.where(F.col("size") <= BLOCK).select("key", "cls", "label")
-    large = scratch.keep(rows.where(F.col("size") > BLOCK))
-    if not large.limit(1).count():
+    members = scratch.keep(rows.where(F.col("size") > BLOCK).select("cls", "label").distinct())
+    if not members.limit(1).count():
         return small
-    # All other buckets of the members: as many rows as they have bands, and no more than all buckets have members.
-    other = buckets.select("cls", F.col("key").alias("second"))
-    pairs = large.join(other, "cls").where("key != second").select(F.xxhash64("key", "second").alias("key"), "cls", "label")
-    pairs = scratch.keep(pairs)
-    parted = scratch.keep(pairs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"))
-    return small.union(join_buckets(pairs, parted, hot_size(parted)).select("key", "cls", "label"))
+    items = scratch.keep(members.join(sets, "cls").select("cls", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("key")))
+    counts = scratch.keep(items.groupBy("key").agg(F.count("*").alias("size")))
+    counted = join_buckets(items, counts, hot_size(counts))
+    least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ordered = counted.groupBy("cls", "label", "n").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("all"))
+    prefixes = scratch.keep(ordered.select("cls", "label", F.explode(F.slice("all", F.lit(1), least.cast("int"))).alias("s")).select(F.col("s.key").alias("key"), "cls", "label"))
+    parted = scratch.keep(prefixes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"))
+    return small.union(join_buckets(prefixes, parted, hot_size(parted)).select("key", "cls", "label"))
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
