@@ -110,6 +110,22 @@ def test_hot_buckets_that_stay_apart_equal_brute_force(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, rows)} == want
 
 
+def test_similar_sets_share_a_prefix():
+    rng = np.random.RandomState(4)
+    for _ in range(500):
+        a = np.unique(rng.randint(0, 300, rng.randint(1, 60)))
+        b = a.copy()
+        for _ in range(rng.randint(0, 6)):
+            b = np.unique(np.append(np.delete(b, rng.randint(len(b))) if len(b) > 1 else b, rng.randint(0, 300)))
+        keys = np.unique(rng.randint(0, 300, 40))
+        ranks = rng.permutation(len(keys)) + 1
+        both = len(np.intersect1d(a, b))
+        p, q = (set(nd.prefix(x.astype(np.int64), keys, ranks, 80).tolist()) for x in (a, b))
+        assert len(p) == len(a) - -(-80 * len(a) // 100) + 1
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert p & q
+
+
 def test_nothing_but_the_result_is_left(spark):
     from treeledger.llm import common
 

@@ -16,7 +16,7 @@
    that the members of a large group of near copies find each other at a cost in proportion to their number.
 7. Buckets of three or more whose members still don't hang together are compared whole. The members of larger ones than ``BLOCK``,
    as of texts that share a long passage, first go to smaller buckets by the prefixes of their shingles: the shingles in the
-   order of their number among these members, rare ones first; two sets at the threshold always share one of the first
+   order of their number among these members, frequent ones last; two sets at the threshold always share one of the first
    ``n - threshold * n + 1`` of each. That is exact, and rows are in proportion to the texts. What is still larger is compared in blocks
    of bounded size: a task holds two blocks as bit sets over the shingles that they share and
    counts common shingles exactly. It puts out only links that join labels, no pairs. So no pair that shares a
@@ -310,16 +310,34 @@ def split_buckets(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scrat
     members = scratch.keep(rows.where(F.col("size") > BLOCK).select("cls", "label").distinct())
     if not members.limit(1).count():
         return small
-    items = scratch.keep(members.join(sets, "cls").select("cls", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("key")))
-    counts = scratch.keep(items.groupBy("key").agg(F.count("*").alias("size")))
-    counted = join_buckets(items, counts, hot_size(counts))
-    least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ordered = counted.groupBy("cls", "label", "n").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("all"))
-    prefixes = scratch.keep(ordered.select("cls", "label", F.explode(F.slice("all", F.lit(1), least.cast("int"))).alias("s")).select(F.col("s.key").alias("key"), "cls", "label"))
+    held = scratch.keep(members.join(sets, "cls").select("cls", "label", "shingles"))
+    counts = scratch.keep(held.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("size")))
+    # Of shingles those that more than hot_size sets have, HOT_BUCKETS at most, and how they rank; all others come first.
+    frequent = counts.where(F.col("size") > hot_size(counts)).orderBy("size", "key").select("key").collect()
+    keys = np.array([r.key for r in frequent], dtype=np.int64)
+    by_key = np.argsort(keys)
+    shared = members.sparkSession.sparkContext.broadcast((keys[by_key], by_key + 1))
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ranks = shared.value
+        for batch in batches:
+            out = [prefix(x.values.to_numpy(), keys, ranks, percent) for x in batch.column(2)]
+            of = pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()), batch.column(0).take(of), batch.column(1).take(of)], ["key", "cls", "label"])
+
+    prefixes = scratch.keep(held.mapInArrow(prefixed, "key bigint, cls bigint, label bigint"))
     parted = scratch.keep(prefixes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"))
     return small.union(join_buckets(prefixes, parted, hot_size(parted)).select("key", "cls", "label"))
 
 
+def prefix(shingles: np.ndarray, keys: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, by rank (0 for those that aren't among the sorted keys), then number, of which a similar set has one."""
+    at = np.minimum(np.searchsorted(keys, shingles), max(len(keys) - 1, 0))
+    rank = np.where(keys[at] == shingles, ranks[at], 0) if len(keys) else np.zeros(len(shingles), np.int64)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))][: n + (-n * percent) // 100 + 1]
+
+
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Numbers of common elements of each of some sets and each of others."""
     sizes = [len(x) for x in (*left, *right)]
