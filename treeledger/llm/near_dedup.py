@@ -384,8 +384,8 @@ def joining_links(cls: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], f
 def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links a, b that join different labels in a bucket, from comparing all its members in pairs of blocks."""
     sized = rows.join(sets.select("cls", F.size("shingles").alias("n")), "cls")
-    of = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = rows.join(of, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    of = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("size"))
+    dealt = join_buckets(rows, of, hot_size(of)).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     pairs = dealt.select("key", "cls", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "label").join(sets, "cls")
 
