@@ -38,7 +38,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a process remembers, and their length at most. When the memory is full it becomes the old one,
 #: and the words that are met again move to the new one.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 120_000, 48
 NONE = math.inf
 
 

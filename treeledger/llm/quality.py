@@ -48,7 +48,7 @@ BLOCKS, FAN = 64, 64
 #: Tokens of which contexts are made at once, and characters that are cut into tokens at once.
 TOKENS, CHARACTERS = 100_000, 1_000_000
 #: Token vectors that a process remembers; the memory is emptied when full.
-REMEMBERED = 150_000
+REMEMBERED = 65_000
 SPACE = re.compile(r"\s")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SHAPES = ("lower", "title", "upper", "mixed", "digits", "marks")
