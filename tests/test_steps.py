@@ -5,7 +5,7 @@ import random
 import pytest
 
 from treeledger.functions import hashing, text
-from treeledger.operators import gate, select, similarity
+from treeledger.operators import clones, gate, select, similarity
 from treeledger.sources import git, scan
 
 
@@ -125,3 +125,21 @@ def test_backstop_is_silenced_by_a_reported_maximum(spark):
     said = spark.createDataFrame([("a", 9)], "file string, head_value int")
     got = {(r.file, r.metric) for r in gate.file_backstops(files, said).collect()}
     assert got == {("b", "file max cognitive complexity"), ("b", "file NCSS")}
+
+
+def test_anonymous_words_equal_a_model(spark):
+    random.seed(3)
+    said = [None, [], ["a"], ["1", "1"]] + [[random.choice(["a", "b", "_c", "é", "1", "+", "2x", "\U0001f600", "ab"]) for _ in range(random.randint(1, 40))] for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(said)), "id int, said array<string>")
+    got = {r.id: r.name for r in rows.select("id", clones.anonymous(text.F.col("said")).alias("name")).collect()}
+    model = lambda t: [f"${t.index(x) + 1}" if x[0].isalpha() or x[0] == "_" else x for x in t]
+    assert got == {i: None if t is None else model(t) for i, t in enumerate(said)}
+
+
+def test_components_of_a_long_path_and_null_ends(spark):
+    path = [(i, i + 1) for i in range(1, 40)]
+    random.seed(4)
+    random.shuffle(path)
+    edges = spark.createDataFrame([*path, (100, 100), (None, 7), (8, None), (2, 1), (2, 1)], "a long, b long")
+    assert {(r.id, r.root) for r in similarity.components(edges).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100)}
+    assert similarity.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -13,9 +13,29 @@ LEAST_WINDOW, MOST_WINDOW = 2, 100
 LITERAL_PERCENT = 20
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def anonymous(said: Column) -> Column:
-    """Words of a token list replaced by the place where each first occurs; other tokens stay."""
-    return F.transform(said, lambda t: F.when(t.rlike(r"^[\p{L}_]"), F.concat(F.lit("$"), F.array_position(said, t).cast("string"))).otherwise(t))
+    """Words of a token list replaced by the place where each first occurs; other tokens stay. Null stays null, an empty list empty.
+
+    Equal tokens are brought together by sorting, so that the work follows n log n and not the square of a long text's tokens.
+    """
+    placed = F.sort_array(F.transform(said, lambda t, i: F.struct(t.alias("token"), (i + 1).alias("at"))))
+
+    def renamed(run: Column, first: Column) -> Column:
+        name = F.when(first["token"].rlike(r"^[\p{L}_]"), F.concat(F.lit("$"), first["at"].cast("string"))).otherwise(first["token"])
+        return bound(name, lambda n: F.transform(run, lambda x: F.struct(x["at"].alias("at"), n.alias("name"))))
+
+    def by_place(rows: Column) -> Column:
+        starts = F.transform(rows, lambda x, k: F.when((k == 0) | (F.get(rows, k - 1)["token"] != x["token"]), k))
+        ends = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(rows))
+        runs = lambda at: F.flatten(F.transform(at, lambda k, j: renamed(F.slice(rows, k + 1, ends(at, j) - k), F.get(rows, k))))
+        return bound(F.filter(starts, lambda k: k.isNotNull()), runs)
+
+    return F.transform(F.sort_array(bound(placed, by_place)), lambda x: x["name"])
 
 
 def fingerprint(said: Column) -> Column:

@@ -105,19 +105,22 @@ def match_groups(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("bucket").applyInPandas(one, f"bucket {kind}, a string, b string")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """id, root: the smallest id of each id's component, from edges a, b. Each round is cut off with a reliable checkpoint."""
+def components(edges: DataFrame) -> DataFrame:
+    """id, root: the smallest id of each id's component, from edges a, b. Rounds go on until no root changes; each is cut off with a reliable checkpoint.
+
+    Edges with a null end link nothing and name nothing; an edge from an id to itself names it; no edges give no rows.
+    """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    edges = edges.where("a is not null and b is not null")
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     roots = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("near"))
         via = roots.join(near, roots.id == near.a).select("id", F.col("root").alias("old"), F.least("root", "near").alias("via"))
         jump = roots.select(F.col("id").alias("via"), F.col("root").alias("jump"))
         new = via.join(jump, "via", "left").select("id", "old", F.least("via", F.coalesce("jump", "via")).alias("root")).checkpoint()
         roots = new.select("id", "root")
         if not new.where("old <> root").limit(1).count():
-            break
-    return roots
+            return roots

@@ -39,7 +39,7 @@ def measure_text(code: str, language: str) -> dict:
             out["facts"] = [asdict(f) for f in python.facts(code)]
             out["leaves"] = [dict(zip(("operand", "text", "line", "col"), x, strict=True)) for x in python.leaves(code)]
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            out |= {"facts": [], "leaves": [], "issue": f"{type(e).__name__}: {e}"[:500]}
+            out |= {"facts": [], "leaves": [], "issue": f"{type(e).__name__}: {e}"}
     else:
         out["leaves"] = [dict(zip(("operand", "text", "line", "col"), x, strict=True)) for x in token_scan.leaves(code, language)]
     return out

@@ -21,7 +21,7 @@ def ranking_json(ranked: DataFrame, metrics: DataFrame, issues: DataFrame, top:
     """The ranking as one JSON object; ``ranked`` has at most ``top`` rows."""
     summary = summarize(metrics)
     rows = [json.loads(r) for r in ranked.toJSON().collect()]
-    held = [r.asDict() for r in issues.limit(1000).collect()]
+    held = [r.asDict() for r in issues.collect()]
     of = lambda kind: [f"{i['file']}: {i['message']}" for i in held if i["severity"] == kind]
     return json.dumps({"summary": summary, "totalRankedFiles": summary["files"], "truncated": summary["files"] > top, "files": rows, "errors": of("error"), "warnings": of("warning")})
 
@@ -43,7 +43,7 @@ def ranking_text(report: dict) -> str:
     return "\n".join(out)
 
 
-def violation_lines(violations: DataFrame, most: int = 10_000) -> list[str]:
-    """A line for each violation."""
-    rows = violations.limit(most).collect()
+def violation_lines(violations: DataFrame) -> list[str]:
+    """A line for each violation, all of them."""
+    rows = violations.collect()
     return [f"{r.file}:{r.start_line} {r.function or ''}: {r.metric} {'worsened ' + format(r.base_value, 'g') + ' -> ' if r.base_value is not None else ''}{r.head_value:g} (allowed <= {r.allowed:g})" for r in rows]
