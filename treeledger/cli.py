@@ -8,8 +8,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from treeledger.plans import diff, gate, report
 from treeledger.plans.rank import rank_files
-from treeledger.sources import scan
+from treeledger.sources import config, scan
 
 
 def positive(text: str) -> int:
@@ -19,7 +20,34 @@ def positive(text: str) -> int:
     return n
 
 
+def diff_main(argv: list[str]) -> int:
+    """``diff BASE [FOLDER]``: 0 if nothing worsened, 1 for violations, 2 for changed files that weren't measured or settings that can't be used."""
+    parser = argparse.ArgumentParser(prog="treeledger diff", description=diff_main.__doc__)
+    parser.add_argument("base")
+    parser.add_argument("target", nargs="?", default=".")
+    parser.add_argument("--config")
+    parser.add_argument("--include-tests", action="store_true", default=None)
+    options = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("treeledger").getOrCreate()
+    try:
+        settings = config.load(options.config, options.target)
+        tests = config.resolve({"includeTests": options.include_tests}, settings)["includeTests"]
+        violations, unmeasured = diff.compare(spark, options.target, options.base, config.gate_options(settings), tests)
+    except (config.ConfigError, RuntimeError) as e:
+        print(e, file=sys.stderr)
+        return 2
+    lines, issues = report.violation_lines(violations), unmeasured.orderBy("file", "message").collect()
+    for line in lines:
+        print(line)
+    for i in issues:
+        print(f"{i.file}: {i.message}", file=sys.stderr)
+    return gate.exit_code(len(lines), len(issues))
+
+
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["diff"]:
+        return diff_main(argv[1:])
     parser = argparse.ArgumentParser(prog="treeledger", description=__doc__)
     parser.add_argument("target", nargs="?", default=".")
     parser.add_argument("--top", type=positive, default=10)

@@ -60,8 +60,11 @@ def match_functions(base: DataFrame, head: DataFrame, options: rules.GateOptions
 METRICS = ("cognitive", "ncss", "nesting", "dep_degree", "volume")
 
 
-def evaluate(base_files: DataFrame, head_files: DataFrame, options: rules.GateOptions = rules.GateOptions()) -> DataFrame:
-    """Violations: gate, metric, file, function, start_line, base_value, head_value, allowed, ordered by file and line."""
+def evaluate(base_files: DataFrame, head_files: DataFrame, options: rules.GateOptions = rules.GateOptions(), projects: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Violations: gate, metric, file, function, start_line, base_value, head_value, allowed, ordered by file and line.
+
+    ``projects`` are both whole revisions, in which duplication is looked for, where the files are only those of a change set.
+    """
     base, base_metrics = measured(base_files)
     head, head_metrics = measured(head_files)
     matches = match_functions(base, head, options).persist()
@@ -81,7 +84,7 @@ def evaluate(base_files: DataFrame, head_files: DataFrame, options: rules.GateOp
     files = of(base_metrics, "base").join(of(head_metrics, "head"), "file").join(split, "file")
     reported = worse.unionByName(new).where("metric = 'cognitive complexity'").select("file", "head_value")
     back = rules.file_backstops(files, reported, options.tolerance).select("*", F.lit("file-regression").alias("gate"), F.lit(None).cast("string").alias("function"), F.lit(1).alias("start_line"))
-    more = duplication_violations(base_files, head_files, options)
+    more = duplication_violations(*(projects or (base_files, head_files)), options)
     columns = ["gate", "metric", "file", "function", "start_line", "base_value", "head_value", "allowed"]
     return worse.select(columns).unionByName(new.select(columns)).unionByName(back.select(columns)).unionByName(more.select(columns)).orderBy("file", "start_line", "metric")
 

@@ -75,6 +75,12 @@ def text_at(folder: str, revision: str, path: str) -> str:
     return run_git(folder, "show", f"{revision}:{path}")
 
 
+def paths_at(folder: str, revision: str) -> list[str]:
+    """Paths of the plain files of a revision, without symbolic links and submodules."""
+    rows = run_git(folder, "ls-tree", "-r", "-z", "--full-tree", revision).split("\0")
+    return [row.split("\t", 1)[1] for row in rows if row.startswith("100")]
+
+
 def links_at(folder: str, revision: str) -> set[str]:
     """Paths that are symbolic links at a revision."""
     return {row.split("\t", 1)[1] for row in run_git(folder, "ls-tree", "-r", "-z", revision).split("\0") if row.startswith("120000")}
