@@ -163,3 +163,30 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert nd.deduplicate(docs).collect() == []
     assert nd.keep_one(docs).collect() == []
+
+
+def plan_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("Initial Plan")[0]
+
+
+def test_texts_stay_where_they_are_if_few_ids_go(spark, monkeypatch):
+    text = "a b c d e f g h"
+    docs = spark.createDataFrame([(i, text if i < 5 else f"{text} {i} x y z", "en", "s", 1) for i in range(20)], DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables of ids grow beyond any threshold
+    try:
+        few = nd.keep_one(docs)
+        assert "SortMergeJoin" not in plan_of(few)
+        monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+        many = nd.keep_one(docs)
+        assert "SortMergeJoin" in plan_of(many)
+        assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 16
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_buckets_of_the_same_members_are_compared_once(spark):
+    sets = spark.createDataFrame([(i, list(range(20)) + [100 + i]) for i in range(3)] + [(3, list(range(500, 520)))], "cls bigint, shingles array<bigint>")
+    rows = spark.createDataFrame([(key, i, i) for key, members in ((7, (0, 1)), (8, (0, 1)), (9, (0, 1, 2)), (10, (0, 3))) for i in members], "key bigint, cls bigint, label bigint")
+    assert sorted(map(tuple, nd.block_links(rows, sets, 80).collect())) == [(0, 1), (0, 1), (0, 2)]

@@ -216,10 +216,13 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     scratch = Scratch(docs.sparkSession, "near-dedup")
     sketch = scratch.keep(sketches(docs, words))
     named = ["n", "d1", "d2"]
-    classes = scratch.keep(sketch.where("n > 0").groupBy(named).agg(F.min("doc_id").alias("cls"), F.count("*").alias("size")))
+    # Equal sets have equal minima, so a class takes its minima along and nothing is joined for them.
+    classes = scratch.keep(sketch.where("n > 0").groupBy(named).agg(F.min("doc_id").alias("cls"), F.count("*").alias("size"), F.first("minima").alias("minima")))
     copied = hot_size(classes)
-    own = join_buckets(sketch.where("n > 0"), classes, copied, named)
-    reps = scratch.keep(own.where(F.col("doc_id") == F.col("cls")).dropDuplicates(named).select("cls", *named, "minima"))
+    own = join_buckets(sketch.where("n > 0").drop("minima"), classes.drop("minima"), copied, named)
+    named_rows = scratch.keep(own.select("doc_id", "n", "cls").union(sketch.where("n = 0").select("doc_id", "n", F.lit(None).cast("bigint"))))
+    scratch.drop(sketch)
+    reps = classes.where("cls is not null").select("cls", *named, "minima")
     band = lambda i: F.xxhash64(i, F.slice("minima", i * ROWS + 1, ROWS))
     keyed = reps.select("cls", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
     shared = scratch.keep(keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high"))
@@ -244,7 +247,6 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
 
-    named_rows = own.select("doc_id", "n", "cls").union(sketch.where("n = 0").select("doc_id", "n", F.lit(None).cast("bigint")))
     found = named_rows.join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
     component = F.coalesce("label", "cls", "doc_id")
     out = scratch.keep(
@@ -257,20 +259,37 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
 def member_sets(docs: DataFrame, reps: DataFrame, buckets: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """cls, shingles of every class that shares a bucket, from the text of its smallest doc_id."""
     wanted = scratch.keep(reps.drop("minima").join(buckets.select("cls").distinct(), "cls", "left_semi"))
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("cls").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     named = wanted.select(F.col("cls").alias("doc_id"), "d1", "d2")
-    found = full_sets(texts, words).join(named, ["doc_id", "d1", "d2"], "left_semi")
-    return scratch.keep(found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "shingles"))
+    texts = of_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), named.select("doc_id").distinct())
+    found = full_sets(texts, words).join(sendable(named), ["doc_id", "d1", "d2"], "left_semi")
+    sets = scratch.keep(found.select(F.col("doc_id").alias("cls"), "shingles"))
+    # Only rows that repeat a doc_id give a class more than one set; the sets are moved only then.
+    if not sets.groupBy("cls").count().where("count > 1").limit(1).count():
+        return sets
+    once = scratch.keep(sets.dropDuplicates(["cls"]))
+    scratch.drop(sets)
+    return once
+
+
+def sendable(ids: DataFrame) -> DataFrame:
+    """Rows of ids, marked to be broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows (or with left_anti all others) whose id is among the ids, a table of one column; texts and sets stay where they are if ids are few."""
+    return rows.join(sendable(ids), ids.columns[0], how)
 
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs a < b of classes, those that are similar enough."""
-    near = scratch.keep(reps.select("cls", "minima").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
+    ends = lambda x: x.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    near = scratch.keep(of_ids(reps.select("cls", "minima"), scratch.keep(ends(pairs))))
     with_minima = pairs.join(near.toDF("a", "ma"), "a").join(near.toDF("b", "mb"), "b")
     alive = scratch.keep(prune(with_minima, threshold))
-    joined = alive.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    scratch.drop(near)
+    held = of_ids(sets, scratch.keep(ends(alive)))
+    joined = alive.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
     common = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return common.where((100 * F.col("i")) >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
@@ -382,9 +401,16 @@ def joining_links(cls: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], f
 
 
 def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b that join different labels in a bucket, from comparing all its members in pairs of blocks."""
+    """Links a, b that join different labels in a bucket, from comparing all its members in pairs of blocks.
+
+    Members that share several bands or prefixes make several buckets of the same members; one of these is compared.
+    """
+    sets = of_ids(sets, rows.select("cls").distinct())
     sized = rows.join(sets.select("cls", F.size("shingles").alias("n")), "cls")
-    of = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("size"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    members = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    named = sized.groupBy("key").agg(blocks, F.count("*").alias("size"), *members)
+    of = named.groupBy("blocks", "size", "m1", "m2").agg(F.min("key").alias("key")).select("key", "blocks", "size")
     dealt = join_buckets(rows, of, hot_size(of)).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     pairs = dealt.select("key", "cls", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "label").join(sets, "cls")
@@ -404,4 +430,4 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFra
     """The documents that are kept, one of each component, with their own columns."""
     marked = deduplicate(docs, words, threshold)
     gone = marked.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return of_ids(docs, gone, "left_anti").select(*docs.columns)
