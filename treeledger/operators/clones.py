@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeledger.functions.text import tokens
+from treeledger.operators import regions
 
 # Least tokens of a region, tokens between regions that are merged, and lengths of windows.
 MIN_TOKENS, MAX_GAP_TOKENS, MIN_SIMILARITY = 40, 30, 70
@@ -19,7 +19,7 @@ def bound(value: Column, body) -> Column:
 
 
 def anonymous(said: Column) -> Column:
-    """Words of a token list replaced by the place where each first occurs; other tokens stay. Null stays null, an empty list empty.
+    """Words of a token list replaced by the place where each first occurs; other tokens stay. Null stays null, an empty list empty. Regions use the quicker form of ``regions``.
 
     Equal tokens are brought together by sorting, so that the work follows n log n and not the square of a long text's tokens.
     """
@@ -38,63 +38,51 @@ def anonymous(said: Column) -> Column:
     return F.transform(F.sort_array(bound(placed, by_place)), lambda x: x["name"])
 
 
-def fingerprint(said: Column) -> Column:
-    """Name of a region up to a consistent renaming of its words: digest and number of tokens."""
-    return F.concat_ws(":", F.md5(F.array_join(anonymous(said), " ").cast("binary")), F.size(said).cast("string"))
+def windows(files: DataFrame, most: int) -> DataFrame:
+    """Every run of 2 to ``most`` statements of a container: file, container, pos, len, key (binary), distinct, first and last line.
 
+    Files without a name have none, as equality joins nothing to them.
+    """
+    return regions.each_file(files.where("file is not null"), regions.window_rows(most), "container bigint, pos int, len int, key binary, distinct_lines int, first_line int, last_line int")
 
-def windows(statements: DataFrame, most: int) -> DataFrame:
-    """Every run of 2 to ``most`` statements of a container: file, container, pos, len, key, distinct, first and last line."""
-    whole = Window.partitionBy("file", "container").orderBy("pos").rowsBetween(Window.currentRow, most - 1)
-    run = statements.withColumn("ahead", F.collect_list(F.struct("line", "line_no")).over(whole))
-    lengths = F.when(F.size("ahead") >= LEAST_WINDOW, F.sequence(F.lit(LEAST_WINDOW), F.size("ahead")))
-    each = run.select("file", "container", "pos", "ahead", F.explode(lengths).alias("len")).withColumn("part", F.slice("ahead", F.lit(1), F.col("len")))
-    said = F.transform("part", lambda s: s["line"])
-    return each.select(
-        "file", "container", "pos", "len",
-        F.md5(F.array_join(said, "\n").cast("binary")).alias("key"),
-        F.size(F.array_distinct(said)).alias("distinct_lines"),
-        F.element_at("part", 1)["line_no"].alias("first_line"),
-        F.element_at("part", -1)["line_no"].alias("last_line"),
-    )
 
+def repeating(files: DataFrame, most: int) -> DataFrame:
+    """Keys of windows that occur at least twice without only overlapping themselves, with at least two distinct lines: key, occurrences, files.
 
-def repeating(found: DataFrame) -> DataFrame:
-    """Keys that occur at least twice without only overlapping themselves, with at least two distinct lines: key, occurrences, files."""
-    apart = (F.max("pos") - F.min("pos") >= F.max("len")) | (F.count_distinct("file", "container") > 1)
-    kept = found.where("distinct_lines > 1").groupBy("key").agg(F.count("*").alias("occurrences"), F.count_distinct("file").alias("files"), apart.alias("apart"))
+    A file sends one row for each key, so keys are brought together once, and files are counted and not compared.
+    """
+    each = regions.each_file(files.where("file is not null"), regions.window_key_rows(most), "key binary, n bigint, low int, high int, len int, containers boolean")
+    apart = (F.max("high") - F.min("low") >= F.max("len")) | (F.count("*") > 1) | F.max("containers")
+    kept = each.groupBy("key").agg(F.sum("n").alias("occurrences"), F.count("file").alias("files"), apart.alias("apart"))
     return kept.where("occurrences > 1 and apart").drop("apart")
 
 
-def maximal(found: DataFrame) -> DataFrame:
+def maximal(found: DataFrame, kept: DataFrame) -> DataFrame:
     """Repeating windows that no repeating window longer by one statement, before or behind, holds."""
-    hot = found.join(repeating(found), "key")
+    hot = found.join(kept, "key")
     longer = hot.select("file", "container", F.col("pos").alias("p"), F.col("len").alias("n"))
     at = [F.col("w.file") == F.col("l.file"), F.col("w.container") == F.col("l.container"), F.col("l.n") == F.col("w.len") + 1]
     alone = hot.alias("w").join(longer.alias("l"), [*at, F.col("l.p") == F.col("w.pos")], "left_anti")
     return alone.alias("w").join(longer.alias("l"), [*at, F.col("l.p") == F.col("w.pos") - 1], "left_anti")
 
 
-def blocks(statements: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+def blocks(files: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """Containers of at least ``least`` tokens: file, container, n_tokens, key, first and last line."""
-    row = F.sort_array(F.collect_list(F.struct("line_no", tokens(F.col("line")).alias("said"))))
-    whole = statements.groupBy("file", "container").agg(row.alias("rows"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
-    said = whole.withColumn("said", F.flatten(F.transform("rows", lambda r: r["said"])))
-    return said.where(F.size("said") >= least).select("file", "container", F.size("said").alias("n_tokens"), F.concat(F.lit("b:"), fingerprint(F.col("said"))).alias("key"), "first_line", "last_line")
+    return regions.each_file(files, regions.block_rows(least), "container bigint, n_tokens int, key string, first_line int, last_line int")
 
 
 def cross_file(candidates: DataFrame) -> DataFrame:
-    """Candidates whose key occurs in at least two files."""
-    kept = candidates.groupBy("key").agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a < b").select("key")
-    return candidates.join(kept, "key", "left_semi")
+    """Candidates whose key occurs in at least two files. They are made once."""
+    same = Window.partitionBy("key")
+    return candidates.withColumns({"a": F.min("file").over(same), "b": F.max("file").over(same)}).where("a < b").drop("a", "b")
 
 
-def covered_lines(regions: DataFrame) -> DataFrame:
-    """file, line_no of all lines of regions, each once."""
-    return regions.select("file", F.explode(F.sequence("first_line", "last_line")).alias("line_no")).distinct()
+def covered_lines(found: DataFrame) -> DataFrame:
+    """file, line_no of all lines of the regions found, each once."""
+    return found.select("file", F.explode(F.sequence("first_line", "last_line")).alias("line_no")).distinct()
 
 
-def partners(regions: DataFrame) -> DataFrame:
+def partners(found: DataFrame) -> DataFrame:
     """file, partners: the other files that share a key. Files are first made distinct for each key."""
-    each = regions.select("key", "file").distinct()
+    each = found.select("key", "file").distinct()
     return each.alias("a").join(each.alias("b"), "key").where(F.col("a.file") != F.col("b.file")).groupBy(F.col("a.file").alias("file")).agg(F.array_sort(F.collect_set("b.file")).alias("partners"))

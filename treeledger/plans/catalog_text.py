@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeledger.functions import hashing
 from treeledger.functions.measures import halstead, ratio, with_percentile
 from treeledger.functions.text import SPACE_CLASS, TOKEN, is_blank, is_word, lines_of, split_lines, statements_of, tokens
-from treeledger.operators import clones, select, similarity
+from treeledger.operators import clones, regions, select, similarity
 from treeledger.sources.tables import files_from, table
 
 Q = {}
@@ -197,8 +197,8 @@ FINGERPRINT = r"md5(array_to_string(list_transform(said, lambda t: case when reg
     f"with {STATED}, k as (select file, {FINGERPRINT} as key from (select file, {TOKENS} as said from stated) where len(said) > 0) select key, count(*) as n, count(distinct file) as files from k group by key",
 )
 def q18(spark: SparkSession, d: str) -> DataFrame:
-    said = lines_of(docs(spark, d)).where(~F.col("blank")).select("file", tokens(F.col("line")).alias("said")).where(F.size("said") > 0)
-    return said.select("file", clones.fingerprint(F.col("said")).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+    each = regions.each_file(docs(spark, d), regions.line_rows, "key string, n bigint", whole=False)
+    return each.groupBy("key").agg(F.sum("n").alias("n"), F.count_distinct("file").alias("files"))
 
 
 WINDOWS = f"""{STATED}, w as (
@@ -213,7 +213,15 @@ WINDOWS = f"""{STATED}, w as (
 
 
 def five_windows(spark: SparkSession, d: str) -> DataFrame:
-    return clones.windows(statements_of(lines_of(docs(spark, d))), 5)
+    return clones.windows(docs(spark, d), 5)
+
+
+def five_repeating(spark: SparkSession, d: str) -> DataFrame:
+    return clones.repeating(docs(spark, d), 5)
+
+
+def hexed():
+    return F.lower(F.hex("key")).alias("key")
 
 
 @query("q19_statement_windows", f"with {WINDOWS} select len::int as len, count(*) as windows, count(distinct key) as keys from w group by len")
@@ -223,7 +231,7 @@ def q19(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q20_repeated_windows", f"with {WINDOWS} select * from rep")
 def q20(spark: SparkSession, d: str) -> DataFrame:
-    return clones.repeating(five_windows(spark, d))
+    return five_repeating(spark, d).select(hexed(), "occurrences", "files")
 
 
 @query(
@@ -233,7 +241,7 @@ select file, first_line, last_line, len::int as len, key from hot w
 where not exists (select 1 from hot l where l.file = w.file and l.container = w.container and l.len = w.len + 1 and l.pos in (w.pos, w.pos - 1))""",
 )
 def q21(spark: SparkSession, d: str) -> DataFrame:
-    return clones.maximal(five_windows(spark, d)).select("file", F.col("first_line").cast("bigint").alias("first_line"), F.col("last_line").cast("bigint").alias("last_line"), "len", "key")
+    return clones.maximal(five_windows(spark, d), five_repeating(spark, d)).select("file", F.col("first_line").cast("bigint").alias("first_line"), F.col("last_line").cast("bigint").alias("last_line"), "len", hexed())
 
 
 BLOCKS = f"""{STATED}, b as (
@@ -243,7 +251,7 @@ crossing as (select * from blocks where key in (select key from blocks group by
 
 
 def doc_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return clones.blocks(statements_of(lines_of(docs(spark, d))))
+    return clones.blocks(docs(spark, d))
 
 
 def long(*cols: str):
@@ -266,13 +274,13 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q24_cross_file_groups", f"with {BLOCKS} select key, count(*) as occurrences, count(distinct file) as files, max(n_tokens)::bigint as n_tokens from crossing group by key")
 def q24(spark: SparkSession, d: str) -> DataFrame:
-    return clones.cross_file(doc_blocks(spark, d)).groupBy("key").agg(F.count("*").alias("occurrences"), F.count_distinct("file").alias("files"), F.max("n_tokens").cast("bigint").alias("n_tokens"))
+    each = doc_blocks(spark, d).groupBy("key").agg(F.count("*").alias("occurrences"), F.count_distinct("file").alias("files"), F.max("n_tokens").cast("bigint").alias("n_tokens"))
+    return each.where("files > 1")
 
 
 @query("q25_greedy_selection")
 def q25(spark: SparkSession, d: str) -> DataFrame:
-    found = clones.repeating(five_windows(spark, d)).select("key")
-    hot = five_windows(spark, d).join(found, "key", "left_semi").select("file", "key", "first_line", "last_line", F.col("len").alias("n_tokens"))
+    hot = five_windows(spark, d).join(five_repeating(spark, d), "key", "left_semi").select("file", hexed(), "first_line", "last_line", F.col("len").alias("n_tokens"))
     return select.select_regions(hot)
 
 

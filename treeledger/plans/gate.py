@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.functions.text import lines_of, statements_of
 from treeledger.operators import clones
 from treeledger.operators import gate as rules
 from treeledger.operators import similarity
@@ -91,8 +90,7 @@ def evaluate(base_files: DataFrame, head_files: DataFrame, options: rules.GateOp
 
 def duplicated_lines(files: DataFrame) -> DataFrame:
     """file, lines: distinct lines of each file in blocks that another file has too."""
-    stated = statements_of(lines_of(files.withColumn("file", F.col("file").cast("string"))))
-    regions = clones.cross_file(clones.blocks(stated))
+    regions = clones.cross_file(clones.blocks(files.withColumn("file", F.col("file").cast("string"))))
     return clones.covered_lines(regions).groupBy("file").agg(F.count("*").alias("lines"))
 
 

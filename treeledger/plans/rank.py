@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.measures import ratio, with_percentile
-from treeledger.functions.text import lines_of, statements_of
 from treeledger.operators import clones
 from treeledger.plans import measure
 
@@ -17,7 +16,7 @@ def rank_files(files: DataFrame, top: int = 10, min_tokens: int = clones.MIN_TOK
     metrics = measure.file_metrics(parsed)
     fns = measure.functions(parsed)
     worst = fns.groupBy("file").agg(F.max_by(F.struct(F.coalesce("name", F.lit("<anonymous>")).alias("name"), "start_line", "end_line", "cognitive", "ncss", "nesting"), F.struct("cognitive", "ncss", -F.col("node"))).alias("worst_function"))
-    regions = clones.cross_file(clones.blocks(statements_of(lines_of(files.withColumn("file", F.col("file").cast("string")))), min_tokens))
+    regions = clones.cross_file(clones.blocks(files.withColumn("file", F.col("file").cast("string")), min_tokens))
     dup = clones.covered_lines(regions).groupBy("file").agg(F.count("*").alias("duplicated"))
     rows = metrics.join(worst, "file", "left").join(dup, "file", "left").withColumn("duplicated", F.coalesce("duplicated", F.lit(0)))
     rows = rows.withColumn("cog", F.coalesce("worst_function.cognitive", F.lit(0)))
