@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SHED_ROUNDS = 20
@@ -40,8 +40,8 @@ def greedy(rows: Sequence[tuple[str, str, int, int, int]], files: int = 1) -> li
         if not lost & set(groups):
             break
         live = {i for i in live if rows[i][0] not in lost}
-    lost = {rows[i][0] for i in kept if sum(rows[j][0] == rows[i][0] for j in kept) < 2}
-    return sorted(i for i in kept if rows[i][0] not in lost)
+    held = Counter(rows[i][0] for i in kept)
+    return sorted(i for i in kept if held[rows[i][0]] >= 2)
 
 
 def merge_gaps(first: Sequence[tuple[int, int]], second: Sequence[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
@@ -57,13 +57,35 @@ def merge_gaps(first: Sequence[tuple[int, int]], second: Sequence[tuple[int, int
     return out
 
 
+def chosen(rows: list[tuple]) -> list[tuple]:
+    """The greedy choice among the rows (file, key, first_line, last_line, n_tokens) of one file."""
+    rows = sorted(rows, key=lambda r: (r[2], r[3], r[1]))
+    return [rows[i] for i in greedy([(key, str(file), first, last + 1, n) for file, key, first, last, n in rows])]
+
+
 def select_regions(candidates: DataFrame) -> DataFrame:
-    """The greedy choice among the candidates of each file: file, key, first_line, last_line, n_tokens."""
+    """The greedy choice among the candidates of each file: file, key, first_line, last_line, n_tokens.
+
+    Files follow one another in a task, which holds one of them; a call for each file would cost more than the choice.
+    """
+    rows = candidates.select("file", "key", "first_line", "last_line", "n_tokens")
+
+    def made(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], kinds.names)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["first_line", "last_line", "key"]).reset_index(drop=True)
-        rows = [(r.key, str(r.file), r.first_line, r.last_line + 1, r.n_tokens) for r in frame.itertuples()]
-        return frame.loc[greedy(rows), ["file", "key", "first_line", "last_line", "n_tokens"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    out += chosen(held)
+                    held = []
+                held.append(row)
+            kinds = batch.schema
+            if out:
+                yield made(out, kinds)
+        if out := chosen(held):
+            yield made(out, kinds)
 
-    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in ("file", "key", "first_line", "last_line", "n_tokens"))
-    return candidates.groupBy("file").applyInPandas(run, schema)
+    return rows.repartition("file").sortWithinPartitions("file").mapInArrow(run, rows.schema)
