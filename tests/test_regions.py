@@ -6,7 +6,7 @@ import time
 import duckdb
 import pytest
 
-from treeledger.operators import clones, regions
+from treeledger.operators import clones, regions, select, similarity
 from treeledger.plans import catalog
 
 NAMES = ("q18_fingerprints", "q20_repeated_windows", "q21_maximal_windows", "q22_block_candidates", "q23_region_dedupe", "q24_cross_file_groups", "q27_clone_lines", "q28_partners")
@@ -64,3 +64,40 @@ def test_quick_names_equal_the_expression(spark):
     df = spark.createDataFrame(rows, "id int, said array<string>")
     got = {r.id: " ".join(r.name) for r in df.select("id", clones.anonymous(df.said).alias("name")).collect()}
     assert got == {i: regions.anonymous(said) for i, said in rows}
+
+
+def test_selection_runs_files_in_one_task_and_equals_the_choice_of_each(spark):
+    random.seed(6)
+    rows = []
+    for f in range(40):
+        at = [(a, a + random.randint(0, 4)) for a in random.choices(range(30), k=25)]
+        rows += [(f, random.choice("klmn"), a, b, b - a + 1) for a, b in at]
+    df = spark.createDataFrame(rows, "file bigint, key string, first_line int, last_line int, n_tokens int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = select.select_regions(df)
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for f in range(40):
+        own = sorted((r for r in rows if r[0] == f), key=lambda r: (r[2], r[3], r[1]))
+        want += [own[i] for i in select.greedy([(k, str(f), a, b + 1, n) for _, k, a, b, n in own])]
+    assert got == sorted(want) and found.schema.simpleString() == df.schema.simpleString()
+    assert "FlatMapGroups" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_shared_grams_with_and_without_a_sent_list(spark, monkeypatch):
+    random.seed(7)
+    words = ["a", "B", "é", "c1", "_", "d-e"]
+    text = lambda: " ".join(random.choices(words, k=random.randint(0, 12)))
+    left, right = [[(i, text()) for i in range(30)] + [(30, None)] for _ in range(2)]
+    right += right[:3]  # repeated rows count once
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [similarity.WORDS.findall(t.lower())] for i in range(len(w) - 4)} if t else set()
+    want = {(a, b): n for a, s in left for b, t in right if (n := len(grams(s) & grams(t)))}
+    frames = [spark.createDataFrame(rows, "id bigint, text string") for rows in (left, right)]
+    for most in (similarity.MOST_GRAMS, 2):
+        monkeypatch.setattr(similarity, "MOST_GRAMS", most)
+        found = similarity.shared_ngrams(*frames)
+        assert {(r.a, r.b): r.shared for r in found.collect()} == want and want
+        assert "lambda" not in found._jdf.queryExecution().sparkPlan().toString()

@@ -2,34 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from treeledger.functions.text import well_formed
 from treeledger.plans.session import checkpoint_dir
 
 NGRAM = 5
 
 
-def ngrams(said: Column, n: int = NGRAM) -> Column:
-    """Distinct runs of n tokens, joined by spaces."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(said) - (n - 1)), lambda i: F.array_join(F.slice(said, i, F.lit(n)), " "))
-    return F.array_distinct(F.when(F.size(said) >= n, runs).otherwise(F.array().cast("array<string>")))
+#: Grams that are sent to all tasks, so that only those leave the texts; where there are more, all are joined.
+MOST_GRAMS = 200_000
+WORDS = re.compile(r"\w+")
+
+
+def ngrams(text: str, n: int = NGRAM) -> set[str]:
+    """Distinct runs of n words of a lower-case text, joined by spaces."""
+    words = WORDS.findall(text)
+    return set(map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+
+
+def gram_rows(texts: DataFrame, among: Broadcast | None = None) -> DataFrame:
+    """id, gram of the n-grams of texts (id, text), of those ``among`` only where that is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [ngrams(t) if among is None else ngrams(t) & among.value for t in part.column(1).to_pylist()]
+                rows = [i for i, grams in enumerate(found) for _ in grams]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array([g for grams in found for g in grams], pa.string())], ["id", "gram"])
+
+    lower = texts.where("text is not null").select("id", F.lower(well_formed(F.col("text"))).alias("text"))
+    return lower.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, gram string")
 
 
 def shared_ngrams(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, shared: numbers of common n-grams, from rows of id and gram. The join follows the grams, not the pairs."""
-    return left.select(F.col("id").alias("a"), "gram").join(right.select(F.col("id").alias("b"), "gram"), "gram").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """a, b, shared: numbers of common n-grams of texts (id, text). The join follows the grams, not the pairs."""
+    spark = left.sparkSession
+    few = [r.gram for r in gram_rows(left).select("gram").distinct().limit(MOST_GRAMS + 1).collect()]
+    among = spark.sparkContext.broadcast(frozenset(few)) if len(few) <= MOST_GRAMS else None
+    both = gram_rows(left).withColumnRenamed("id", "a").join(gram_rows(right, among).withColumnRenamed("id", "b"), "gram")
+    return both.groupBy("a", "b").agg(F.count_distinct("gram").alias("shared"))
+
+
+#: Ids that are sent to all tasks to choose texts by.
+MOST_IDS = 1_000_000
 
 
 def overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, overlap: sizes of the multiset intersections of pairs, from rows of id and token."""
+    """a, b, overlap: sizes of the multiset intersections of pairs, from texts (id, said: their tokens).
+
+    Pairs are made once; texts without a pair are left out before their tokens become rows.
+    """
+    spark = pairs.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    pairs = pairs.checkpoint()
 
     def counts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(F.col("id").alias(name), "token").agg(F.count("*").alias(f"n_{name}"))
+        ids = pairs.select(F.col(name).alias("id")).distinct()
+        ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+        met = rows.join(ids, "id", "left_semi").select("id", F.explode("said").alias("token"))
+        return met.groupBy(F.col("id").alias(name), "token").agg(F.count("*").alias(f"n_{name}"))
 
     met = pairs.join(counts(left, "a"), "a").join(counts(right, "b"), ["b", "token"])
     return met.groupBy("a", "b").agg(F.sum(F.least("n_a", "n_b")).alias("overlap"))

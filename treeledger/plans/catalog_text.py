@@ -324,9 +324,8 @@ def word_list(text):
 
 
 def gram_pairs(spark: SparkSession, d: str) -> DataFrame:
-    said = lambda t, i: table(spark, d, t).select(F.col(i).alias("id"), word_list(F.col("text")).alias("said"))
-    grams = lambda t, i: said(t, i).select("id", F.explode(similarity.ngrams(F.col("said"))).alias("gram"))
-    return similarity.shared_ngrams(grams("benchmark", "item_id"), grams("documents", "doc_id"))
+    texts = lambda t, i: table(spark, d, t).select(F.col(i).alias("id"), "text")
+    return similarity.shared_ngrams(texts("benchmark", "item_id"), texts("documents", "doc_id"))
 
 
 @query("q30_shared_ngrams", f"with {GRAMS} select * from shared")
@@ -340,7 +339,7 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
 select a, b, sum(least(cb.n, cd.n))::bigint as overlap from shared join cb on cb.id = a join cd on cd.id = b and cd.t = cb.t group by a, b""",
 )
 def q31(spark: SparkSession, d: str) -> DataFrame:
-    rows = lambda t, i: table(spark, d, t).select(F.col(i).alias("id"), F.explode(word_list(F.col("text"))).alias("token"))
+    rows = lambda t, i: table(spark, d, t).select(F.col(i).alias("id"), word_list(F.col("text")).alias("said"))
     return similarity.overlap(rows("benchmark", "item_id"), rows("documents", "doc_id"), gram_pairs(spark, d).select("a", "b"))
 
 
