@@ -105,3 +105,11 @@ def test_table(spark, library):
     back = pc.decode_table(pc.encode_table(docs, PATH), PATH)
     assert {r.text for r in back.collect()} == {"The cat", "", "é\n x"}
     assert pc.digest_table(docs.limit(0), PATH).collect() == []
+
+
+def test_new_words_are_joined_from_prepared_numbers(monkeypatch):
+    m = pc.Model(PATH)
+    said = m.joined(m.normalise("unforgettable zorbification 漢字 \U0001f9ff a\nb")[0])
+    monkeypatch.setattr(m, "numbers", {})  # each piece by itself
+    m.words.clear()
+    assert m.joined(m.normalise("unforgettable zorbification 漢字 \U0001f9ff a\nb")[0]) == said and said.count(",") > 6

@@ -105,6 +105,7 @@ class Model:
         self.words: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.ranks = {p: r for p, (r, _) in self.merge.items()}
+        self.numbers = {p: str(i) for p, (_, i) in self.merge.items()}
         #: Source bytes that a piece stands for where the map is empty; the value of a byte piece, else -1.
         self.bytes_of = np.array([1 if k == BYTE else 0 if k == CONTROL else len(p.replace(SPACE, " ").encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
         self.byte_of = np.full(len(self.pieces), -1)
@@ -164,12 +165,12 @@ class Model:
         ranks = [rank(a + b, NONE) for a, b in pairwise(pieces)]
         while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
-            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            pieces[i] = both = pieces[i] + pieces.pop(i + 1)
             del ranks[i]
             if i:
-                ranks[i - 1] = rank(pieces[i - 1] + pieces[i], NONE)
+                ranks[i - 1] = rank(pieces[i - 1] + both, NONE)
             if i < len(ranks):
-                ranks[i] = rank(pieces[i] + pieces[i + 1], NONE)
+                ranks[i] = rank(both + pieces[i + 1], NONE)
         return pieces
 
     def _merged_long(self, unit: str) -> list[str]:
@@ -197,9 +198,17 @@ class Model:
             offer(a, right[a])
         return [p for p in parts if p is not None]
 
-    def _encoded(self, unit: str) -> list[int]:
+    def _joined(self, unit: str) -> str:
+        """Ids of a unit as decimal numbers joined by commas."""
+        pieces = self._merged(unit)
+        try:
+            return ",".join([self.numbers[p] for p in pieces])
+        except KeyError:
+            return ",".join(map(str, self._ids(pieces)))
+
+    def _ids(self, pieces: list[str]) -> list[int]:
         ids = []
-        for piece in self._merged(unit):
+        for piece in pieces:
             if found := self.merge.get(piece):
                 ids.append(found[1])
             elif self.byte_ids:
@@ -224,7 +233,7 @@ class Model:
                     new.update([w for w, g in zip(parts, got, strict=True) if g is None])
             else:
                 units = self.unit.findall(normal) if self.free else [normal] if normal else []
-                out[i] = ",".join([",".join(map(str, self._encoded(u))) for u in units])
+                out[i] = ",".join([self._joined(u) for u in units])
         said = self._learn(list(new)) if new else {}
         for i, (parts, got) in words.items():
             if None in got:
@@ -237,7 +246,7 @@ class Model:
         said = {}
         for w in words:
             if (x := self._older(w)) is None:
-                x = ",".join([str(i) for u in self.unit.findall(SPACE + w) for i in self._encoded(u)])
+                x = self._joined(SPACE + w) if "\n" not in w else ",".join([self._joined(u) for u in self.unit.findall(SPACE + w)])
                 if len(w) <= LONGEST:
                     if len(self.words) >= REMEMBERED:
                         self.old, self.words = self.words, {}
