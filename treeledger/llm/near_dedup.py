@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import Scratch
+from treeledger.llm.common import Scratch, mapped
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * HASHES, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], ["doc_id", "n", "d1", "d2", "minima"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SKETCH)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -159,7 +159,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in named], pa.int64()), pa.array([b for _, b in named], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "d1", "d2", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SETS)
 
 
 def reach_probability(agreeing: int, seen: int, threshold: float) -> float:
@@ -189,7 +189,7 @@ def prune(pairs: DataFrame, threshold: float) -> DataFrame:
                 alive = alive[agreeing[alive] >= bound]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], ["a", "b"])
 
-    return pairs.select("a", "b", "ma", "mb").mapInArrow(run, "a bigint, b bigint")
+    return mapped(pairs.select("a", "b", "ma", "mb"), run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -344,7 +344,7 @@ def split_buckets(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scrat
             of = pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()), batch.column(0).take(of), batch.column(1).take(of)], ["key", "cls", "label"])
 
-    prefixes = scratch.keep(held.mapInArrow(prefixed, "key bigint, cls bigint, label bigint"))
+    prefixes = scratch.keep(mapped(held, prefixed, "key bigint, cls bigint, label bigint"))
     parted = scratch.keep(prefixes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"))
     return small.union(join_buckets(prefixes, parted, hot_size(parted)).select("key", "cls", "label"))
 

@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from treeledger.llm.common import mapped
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a process remembers, and their length at most. When the memory is full it becomes the old one,
@@ -353,7 +355,7 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
                 columns = [pa.array([[x[k] for x in s] for s in spans], pa.list_(pa.int32())) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "ids", "begins", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+    return mapped(docs.select("doc_id", "text"), run, ENCODED)
 
 
 def decode_table(encoded: DataFrame, path: str) -> DataFrame:
@@ -365,7 +367,7 @@ def decode_table(encoded: DataFrame, path: str) -> DataFrame:
             texts = [m.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
 
 
 def digest_table(docs: DataFrame, path: str) -> DataFrame:
@@ -386,7 +388,7 @@ def digest_table(docs: DataFrame, path: str) -> DataFrame:
                 rows = [_digest(m, t, x) for t, x in zip(texts, m.joined_many([m.normalise(t)[0] for t in texts]), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
+    return mapped(docs.select("doc_id", "text"), run, DIGESTS)
 
 
 def _digest(m: Model, text: str, said: str) -> tuple[int, int, int, str, str, str]:

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from treeledger.llm.common import mapped
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 Span = tuple[int, int, int]  # start, number of the kind, end
@@ -282,7 +284,7 @@ def detect(docs: DataFrame) -> DataFrame:
             added = pa.array([len(spans) - len(base) for base, spans in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, every, added], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return mapped(docs.select("doc_id", "text"), run, FOUND)
 
 
 def redact_table(docs: DataFrame) -> DataFrame:
@@ -295,4 +297,4 @@ def redact_table(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lang", "source", "n_chars"])
 
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return mapped(docs.select("doc_id", "text", "lang", "source", "n_chars"), run, "doc_id bigint, text string, lang string, source string, n_chars bigint")

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import Scratch, least_hashes
+from treeledger.llm.common import Scratch, least_hashes, mapped
 
 DIMENSIONS, NONZERO, WINDOW, HIDDEN, INDEX_BITS = 48, 6, 2, 24, 15
 INDEX_ROWS = 1 << INDEX_BITS
@@ -144,7 +144,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         total = np.sum([np.frombuffer(b, np.int32) for b in table.column("sums").to_pylist()], axis=0, dtype=np.int32)
         return pa.table({"block": table.column("block").slice(0, 1), "part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    found = scratch.keep(docs.where(F.length("text") > 0).select("text").mapInArrow(tables, TABLES))
+    found = scratch.keep(mapped(docs.where(F.length("text") > 0).select("text"), tables, TABLES))
     last = found.agg(F.max("part")).first()[0]
     while last is not None and last > 0:
         found = scratch.keep(found.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(added, TABLES))
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
 
     wanted = docs.sparkSession.createDataFrame([(k,) for k in marks], "wanted bigint")
     labelled = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    found = labelled.mapInArrow(pooled, "doc_id bigint, x array<float>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    found = mapped(labelled, pooled, "doc_id bigint, x array<float>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     x = np.array([r.x for r in found], dtype=np.float64).reshape(-1, Pooling.width)
     return Classifier(vectors, train(x, np.array([marks[r.doc_id] for r in found])))
@@ -309,7 +309,7 @@ def scored(docs: DataFrame, classifier: Classifier, keep: Sequence[str] = ()) ->
             columns = [c for i, c in enumerate(batch.columns) if i != 1]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], names)
 
-    return kept.mapInArrow(run, ddl)
+    return mapped(kept, run, ddl)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -334,4 +334,4 @@ def keep_good(docs: DataFrame, classifier: Classifier, at: float = 0.5) -> DataF
                 batch = batch.filter(pa.array(got.network.score(x) >= at))
             yield batch
 
-    return docs.select(*COLUMNS).mapInArrow(run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return mapped(docs.select(*COLUMNS), run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
